@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ._common import Query
 
-MODULES = ("quality", "simhash", "substring_dedup")
+MODULES = ("quality", "simhash", "substring_dedup", "token_files", "packing")
 
 
 def queries() -> dict[str, Query]:
