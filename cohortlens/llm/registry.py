@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ._common import Query
 
-MODULES = ("quality", "simhash", "substring_dedup", "token_files", "packing")
+MODULES = ("token_files", "substring_dedup", "mixing", "simhash", "packing", "topk", "quality")
 
 
 def queries() -> dict[str, Query]:
