@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ._common import Query
 
-MODULES = ("token_files", "substring_dedup", "mixing", "simhash", "packing", "topk", "quality")
+MODULES = ("token_counts", "language_id", "token_files", "substring_dedup", "mixing", "toxicity", "simhash", "packing", "topk", "quality")
 
 
 def queries() -> dict[str, Query]:
