@@ -1,0 +1,401 @@
+"""Queries of filters, joins, aggregations, top-k and set operations over the tidy views."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import relational as R
+from ..sources import views as V
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql.strip() if sql.lstrip().upper().startswith("SELECT") else "WITH " + sql.strip()
+        return f
+
+    return add
+
+
+# --- scans and integrity -------------------------------------------------------------------------------------
+
+
+@query(V.AUTHORS + """
+SELECT 'duplicate prompt_id' AS problem, count(*) AS n FROM (SELECT prompt_id FROM prompts GROUP BY prompt_id HAVING count(*) > 1)
+UNION ALL SELECT 'unknown cohort', count(*) FROM prompts WHERE cohort NOT IN ('target', 'baseline')
+UNION ALL SELECT 'prompt without author', count(*) FROM prompts p WHERE NOT EXISTS (SELECT 1 FROM authors a WHERE a.cohort = p.cohort AND a.author_id = p.author_id)
+UNION ALL SELECT 'empty text', count(*) FROM prompts WHERE trim(coalesce(text, '')) = ''""")
+def scan_prompt_dataset(s: SparkSession, d: str) -> DataFrame:
+    return R.dataset_problems(V.prompts(s, d), V.authors(s, d))
+
+
+@query(V.AUTHORS + """ SELECT p.prompt_id, p.author_id FROM prompts p JOIN authors a ON a.cohort = p.cohort AND a.author_id = p.author_id WHERE p.cohort = 'target' AND a.age = '25-34' AND p.markedness = 0""")
+def cohort_slice(s: SparkSession, d: str) -> DataFrame:
+    p, _ = R.cohort_slice(V.prompts(s, d), V.authors(s, d), "target", F.col("age") == "25-34", F.col("markedness") == 0)
+    return p.select("prompt_id", "author_id")
+
+
+@query(V.AUTHORS + """ SELECT DISTINCT a.author_id FROM prompts p JOIN authors a ON a.cohort = p.cohort AND a.author_id = p.author_id WHERE p.cohort = 'target' AND a.age = '25-34' AND p.markedness = 0""")
+def prompts_authors(s: SparkSession, d: str) -> DataFrame:
+    _, a = R.cohort_slice(V.prompts(s, d), V.authors(s, d), "target", F.col("age") == "25-34", F.col("markedness") == 0)
+    return a.select("author_id")
+
+
+@query("SELECT doc_id, 'empty text' AS problem FROM documents WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT doc_id, 'repeated id' FROM documents GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'no instruction' FROM documents WHERE source IS NULL")
+def load_community_file(s: SparkSession, d: str) -> DataFrame:
+    docs = V.table(s, d, "documents")
+    note = lambda df, p: df.select("doc_id", F.lit(p).alias("problem"))
+    twice = docs.groupBy("doc_id").count().filter("count > 1")
+    return note(docs.filter(F.trim(F.coalesce("text", F.lit(""))) == ""), "empty text").union(note(twice, "repeated id")).union(note(docs.filter("source IS NULL"), "no instruction"))
+
+
+@query(V.RESPONSES + """, p AS (SELECT DISTINCT prompt_id, community, instruction_id FROM responses), k AS (SELECT instruction_id, row_number() OVER (ORDER BY instruction_id) - 1 AS topic_id FROM (SELECT DISTINCT instruction_id FROM p))
+SELECT prompt_id, concat(prompt_id, '-author') AS author_id, community AS cohort, topic_id FROM p JOIN k USING (instruction_id)""")
+def export_two_table_dataset(s: SparkSession, d: str) -> DataFrame:
+    p = V.responses(s, d).select("prompt_id", "community", "instruction_id").distinct()
+    index = p.select("instruction_id").distinct().withColumn("topic_id", (F.row_number().over(Window.orderBy("instruction_id")) - 1).cast("long"))  # one row an instruction
+    return p.join(F.broadcast(index), "instruction_id").select("prompt_id", F.concat("prompt_id", F.lit("-author")).alias("author_id"), F.col("community").alias("cohort"), "topic_id")
+
+
+@query(V.TRACE + " SELECT event_id, role, error FROM trace WHERE error IS NOT NULL")
+def dead_letter(s: SparkSession, d: str) -> DataFrame:
+    return V.trace(s, d).filter("error IS NOT NULL").select("event_id", "role", "error")
+
+
+@query("WITH u AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT c.conv_id, c.turn, c.text AS prompt, r.text AS reply FROM u JOIN conversations c USING (conv_id, turn) LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'".replace("WITH u", "u", 1))
+def scan_nested_parquet_first_turn(s: SparkSession, d: str) -> DataFrame:
+    return R.first_turns(V.table(s, d, "conversations"))
+
+
+# --- projections and filters ---------------------------------------------------------------------------------
+
+
+@query(V.PROMPTS + " SELECT prompt_id, cohort FROM (SELECT prompt_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY doc_id) AS n FROM prompts) WHERE n <= 50")
+def flatten_prompts(s: SparkSession, d: str) -> DataFrame:
+    return R.first_n(V.prompts(s, d), ["cohort"], ["doc_id"], 50).select("prompt_id", "cohort")
+
+
+@query(V.PROMPTS + " SELECT concat(prompt_id, '~s', k) AS response_id, prompt_id, k AS sample_index, substr(md5(concat(prompt_id, chr(31), k, chr(31), '11')), 1, 8) AS seed_hex FROM prompts CROSS JOIN range(3) AS r(k)")
+def expand_samples(s: SparkSession, d: str) -> DataFrame:
+    rows = V.prompts(s, d).select("prompt_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample_index"))
+    return rows.select(F.concat("prompt_id", F.lit("~s"), "sample_index").alias("response_id"), "prompt_id", "sample_index", R.seed_hex("prompt_id", "sample_index", F.lit("11")).alias("seed_hex"))
+
+
+@query(V.RESPONSES + " SELECT response_id FROM responses WHERE NOT refused AND output_tokens > 0")
+def judgeable(s: SparkSession, d: str) -> DataFrame:
+    return V.responses(s, d).filter("NOT refused AND output_tokens > 0").select("response_id")
+
+
+@query(V.PROMPTS + " SELECT t AS threshold, count(*) FILTER (cohort = 'target' AND codedness >= t) AS n_target, count(*) FILTER (cohort = 'baseline') AS n_baseline FROM prompts CROSS JOIN (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS g(t) GROUP BY t")
+def codedness_threshold(s: SparkSession, d: str) -> DataFrame:
+    rows = V.prompts(s, d).select("cohort", "codedness", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("threshold"))
+    t = F.col("cohort") == "target"
+    return rows.groupBy("threshold").agg(F.count_if(t & (F.col("codedness") >= F.col("threshold"))).alias("n_target"), F.count_if(~t).alias("n_baseline"))
+
+
+@query(V.PROMPTS + " SELECT CASE WHEN markedness = 0 THEN 'implicit' ELSE 'marked' END AS part, cohort, count(*) AS n FROM prompts GROUP BY ALL")
+def markedness_split(s: SparkSession, d: str) -> DataFrame:
+    return V.prompts(s, d).groupBy(F.when(F.col("markedness") == 0, "implicit").otherwise("marked").alias("part"), "cohort").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(V.AUTHORS + """ SELECT 'eq' AS op, count(*) AS n FROM authors WHERE age = '18-24'
+UNION ALL SELECT 'in', count(*) FROM authors WHERE age IN ('18-24', '25-34')
+UNION ALL SELECT 'not_in', count(*) FROM authors WHERE age NOT IN ('18-24', '', '0')
+UNION ALL SELECT 'contains', count(*) FROM authors WHERE list_contains(list_transform(gender, lambda x: lower(trim(x))), 'man')
+UNION ALL SELECT 'contains_text', count(*) FROM authors WHERE len(list_filter(gender, lambda x: contains(lower(trim(x)), 'man'))) > 0
+UNION ALL SELECT 'not_contains', count(*) FROM authors WHERE len(gender) > 0 AND NOT list_contains(list_transform(gender, lambda x: lower(trim(x))), 'man')""")
+def author_slice(s: SparkSession, d: str) -> DataFrame:
+    a = V.authors(s, d)
+    specs = [("eq", "age", "18-24"), ("in", "age", "18-24,25-34"), ("not_in", "age", "18-24,*"), ("contains", "gender", "man"), ("contains_text", "gender", "man"), ("not_contains", "gender", "man")]
+    return a.select(F.explode(F.array(*(F.when(R.slice_mask(c, op, v), F.lit(op)) for op, c, v in specs))).alias("op")).filter("op IS NOT NULL").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(V.AUTHORS + " SELECT DISTINCT age AS value FROM authors WHERE trim(age) NOT IN ('', '0', 'nan')")
+def stratum_values(s: SparkSession, d: str) -> DataFrame:
+    return R.stratum_values(V.authors(s, d), "age")
+
+
+@query(V.PROMPTS + " SELECT topic_id, count(*) FILTER (cohort = 'target') AS n_target, count(*) FILTER (cohort = 'baseline') AS n_baseline FROM prompts GROUP BY topic_id HAVING least(count(*) FILTER (cohort = 'target'), count(*) FILTER (cohort = 'baseline')) >= 8")
+def min_side_filter(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("cohort") == "target"
+    rows = V.prompts(s, d).groupBy("topic_id").agg(F.count_if(t).alias("n_target"), F.count_if(~t).alias("n_baseline"))
+    return rows.filter(F.least("n_target", "n_baseline") >= 8)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'licensed') AND lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 2")
+def response_browser(s: SparkSession, d: str) -> DataFrame:
+    docs = V.table(s, d, "documents").filter((F.col("lang") == "en") & F.contains(F.lower("text"), F.lit("licensed")))
+    return docs.select("doc_id", "n_chars").orderBy("doc_id").offset(2).limit(20)
+
+
+@query(V.PANEL + " SELECT p.response_id, axis_id FROM panel p JOIN responses r USING (response_id) WHERE p.community = 'target' AND axis_id = 'taxed' AND verdict AND r.output_tokens > 45")
+def verdict_browser(s: SparkSession, d: str) -> DataFrame:
+    long = V.responses(s, d).filter("output_tokens > 45").select("response_id")
+    return V.panel(s, d).filter("community = 'target' AND axis_id = 'taxed' AND verdict").join(long, "response_id", "left_semi").select("response_id", "axis_id")
+
+
+@query(V.TRACE + " SELECT event_id FROM trace WHERE (error IS NOT NULL OR refused) AND contains(lower(concat_ws(' ', role, model, error)), 'timeout') ORDER BY event_id DESC LIMIT 25")
+def trace_grep(s: SparkSession, d: str) -> DataFrame:
+    t = V.trace(s, d).filter("error IS NOT NULL OR refused")
+    return t.filter(F.contains(F.lower(F.to_json(F.struct("role", "model", "error"))), F.lit("timeout"))).select("event_id").orderBy(F.desc("event_id")).limit(25)
+
+
+@query(V.PANEL + " SELECT response_id, count(*) = 5 AND bool_or(verdict IS NOT NULL) AS reusable FROM panel GROUP BY response_id")
+def reuse_coverage(s: SparkSession, d: str) -> DataFrame:
+    stored = V.panel(s, d).groupBy("response_id").agg(F.collect_set("axis_id").alias("seen"), F.bool_or(F.col("verdict").isNotNull()).alias("judged"))
+    current = F.array(*map(F.lit, V.AXES))
+    return stored.select("response_id", ((F.size(F.array_except(current, "seen")) == 0) & F.col("judged")).alias("reusable"))
+
+
+# --- joins ---------------------------------------------------------------------------------------------------
+
+
+@query(V.RESPONSES + " SELECT response_id FROM responses r WHERE sample_index <= 3 AND NOT EXISTS (SELECT 1 FROM responses q WHERE q.response_id = r.response_id AND q.finish_reason = 'length')")
+def resume_anti(s: SparkSession, d: str) -> DataFrame:
+    r = V.responses(s, d)
+    return r.filter("sample_index <= 3").select("response_id").join(r.filter("finish_reason = 'length'").select("response_id"), "response_id", "left_anti")
+
+
+@query(V.VERDICTS + " SELECT o.axis_id, count(*) AS n, count(*) FILTER (o.verdict = r.verdict) AS equal FROM verdicts o JOIN verdicts r ON o.response_id = r.response_id AND o.axis_id = r.axis_id WHERE o.judge = 'j0' AND r.judge = 'j2' AND r.verdict IS NOT NULL GROUP BY o.axis_id")
+def rejudge_join(s: SparkSession, d: str) -> DataFrame:
+    v = V.verdicts(s, d)
+    again = v.filter("judge = 'j2' AND verdict IS NOT NULL").select("response_id", "axis_id", F.col("verdict").alias("again"))
+    rows = v.filter("judge = 'j0'").join(again, ["response_id", "axis_id"])
+    return rows.groupBy("axis_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == F.col("again")).alias("equal"))
+
+
+@query(V.VERDICTS + " SELECT r.response_id, coalesce(b.y, 0) AS n_yes, r.finish_reason FROM responses r LEFT JOIN (SELECT response_id, count(*) FILTER (verdict) AS y FROM verdicts WHERE judge = 'j0' GROUP BY response_id) b USING (response_id) WHERE r.sample_index = 1")
+def response_detail(s: SparkSession, d: str) -> DataFrame:
+    yes = V.panel(s, d).groupBy("response_id").agg(F.count_if("verdict").alias("n_yes"))
+    r = V.responses(s, d).filter("sample_index = 1").select("response_id", "finish_reason")
+    return r.join(yes, "response_id", "left").select("response_id", F.coalesce("n_yes", F.lit(0)).alias("n_yes"), "finish_reason")
+
+
+@query("SELECT 'label without document' AS problem, count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) UNION ALL SELECT 'line without order', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'order without customer', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
+def fk_violations(s: SparkSession, d: str) -> DataFrame:
+    t = lambda n: V.table(s, d, n)
+    checks = [("label without document", t("labels"), "doc_id", t("documents"), "doc_id"), ("line without order", t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"), ("order without customer", t("orders"), "o_custkey", t("customer"), "c_custkey")]
+    return R.foreign_keys(checks)
+
+
+@query("a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM a x JOIN a y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6")
+def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
+    rows = V.table(s, d, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return R.jaccard_pairs(rows, "item_id", "w", 0.6)
+
+
+@query("k AS (SELECT DISTINCT lang, source FROM documents) SELECT a.lang AS a, b.lang AS b, round((SELECT count(*) FROM k x JOIN k y USING (source) WHERE x.lang = a.lang AND y.lang = b.lang) / (SELECT count(DISTINCT source) FROM k WHERE lang IN (a.lang, b.lang)), 6) AS jaccard FROM (SELECT DISTINCT lang FROM k) a JOIN (SELECT DISTINCT lang FROM k) b ON a.lang < b.lang")
+def condition_overlap(s: SparkSession, d: str) -> DataFrame:
+    sets = V.table(s, d, "documents").select("lang", "source").distinct().groupBy("lang").agg(F.collect_set("source").alias("w"))
+    return R.set_overlap(sets, "lang", "w")
+
+
+@query(V.VECTORS + """, c AS (SELECT label, i, avg(v[i]) AS x FROM vectors, range(1, 65) AS r(i) GROUP BY ALL), p AS (SELECT a.label AS a, b.label AS b, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS cos FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY ALL)
+SELECT a, b, round(cos, 6) AS cosine FROM p WHERE NOT (a = 0 AND b = 1) ORDER BY cos DESC, a, b LIMIT 2""")
+def topic_pairs(s: SparkSession, d: str) -> DataFrame:
+    return R.closest_centroids(V.vectors(s, d), "label", 2, done=[(0, 1)])
+
+
+@query(V.VECTORS + """, c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM vectors, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY label),
+s AS (SELECT vec_id, c.label, list_cosine_similarity(v, c) AS cos FROM vectors CROSS JOIN c) SELECT vec_id, label AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 9) DESC, label) AS n FROM s) WHERE n = 1""")
+def nearest_catalog(s: SparkSession, d: str) -> DataFrame:
+    return R.nearest_centroid(V.vectors(s, d), "vec_id", "label")
+
+
+@query(V.PROMPTS + ", v AS (SELECT domain, cohort, count(*) AS n FROM prompts GROUP BY ALL) SELECT domain, max(n) FILTER (cohort = 'target') AS target, max(n) FILTER (cohort = 'baseline') AS baseline FROM v GROUP BY domain")
+def comparison_pivot(s: SparkSession, d: str) -> DataFrame:
+    return V.prompts(s, d).groupBy("domain").pivot("cohort", ["target", "baseline"]).agg(F.count(F.lit(1)))
+
+
+# --- aggregations --------------------------------------------------------------------------------------------
+
+
+@query(V.PROMPTS + """, c AS (SELECT unnest(range(0, 9)) AS topic_id), n AS (SELECT topic_id, cohort, count(*) AS k FROM prompts GROUP BY ALL), t AS (SELECT cohort, count(*) AS k FROM prompts GROUP BY cohort)
+SELECT c.topic_id, t.cohort, coalesce(n.k, 0) AS n, round(coalesce(n.k, 0) / t.k, 6) AS share FROM c CROSS JOIN t LEFT JOIN n ON n.topic_id = c.topic_id AND n.cohort = t.cohort""")
+def topic_shares(s: SparkSession, d: str) -> DataFrame:
+    catalog = s.range(9).withColumnRenamed("id", "topic_id")
+    return R.closed_shares(V.prompts(s, d), "cohort", "topic_id", catalog)
+
+
+@query(V.PROMPTS + """, c AS (SELECT concat('d', x) AS domain FROM range(0, 4) AS r(x)), n AS (SELECT domain, cohort, count(*) AS k FROM prompts GROUP BY ALL), t AS (SELECT cohort, count(*) AS k FROM prompts GROUP BY cohort)
+SELECT c.domain, t.cohort, coalesce(n.k, 0) AS n, round(coalesce(n.k, 0) / t.k, 6) AS share FROM c CROSS JOIN t LEFT JOIN n ON n.domain = c.domain AND n.cohort = t.cohort""")
+def domain_shares(s: SparkSession, d: str) -> DataFrame:
+    return R.closed_shares(V.prompts(s, d), "cohort", "domain", s.range(4).select(F.concat(F.lit("d"), "id").alias("domain")))
+
+
+@query(V.PROMPTS + """, f AS (SELECT cohort, 'length' AS facet, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END AS option FROM prompts UNION ALL SELECT cohort, 'shape', CASE WHEN contains(text, '|') THEN 'table' ELSE 'prose' END FROM prompts)
+SELECT cohort, facet, option, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY cohort, facet), 6) AS share FROM f GROUP BY cohort, facet, option""")
+def facet_shares(s: SparkSession, d: str) -> DataFrame:
+    p = V.prompts(s, d)
+    size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long")
+    shape = F.when(F.contains("text", F.lit("|")), "table").otherwise("prose")
+    f = p.select("cohort", F.explode(F.array(F.struct(F.lit("length").alias("facet"), size.alias("option")), F.struct(F.lit("shape").alias("facet"), shape.alias("option")))).alias("f")).select("cohort", "f.*")
+    n = f.groupBy("cohort", "facet", "option").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cohort", "facet")), 6))
+
+
+@query(V.USAGE + ", a AS (SELECT side, scale, author_id, avg(answer) AS m FROM usage WHERE answer > 0 GROUP BY ALL) SELECT side, scale, count(*) AS n_authors, round(avg(m), 6) AS mean FROM a GROUP BY ALL")
+def author_means(s: SparkSession, d: str) -> DataFrame:
+    a = R.author_means(V.usage(s, d), ["side", "scale"])
+    return a.groupBy("side", "scale").agg(F.count(F.lit(1)).alias("n_authors"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(V.USAGE + ", g AS (SELECT DISTINCT side, scale, dom AS domain FROM usage, (VALUES ('d0'), ('d1'), ('d2'), ('d3')) AS x(dom)), a AS (SELECT side, scale, domain, author_id, avg(answer) AS m FROM usage WHERE answer > 0 GROUP BY ALL), b AS (SELECT side, scale, domain, avg(m) AS m FROM a GROUP BY ALL) SELECT side, scale, domain, round(m, 6) AS mean FROM g LEFT JOIN b USING (side, scale, domain)")
+def domain_profile(s: SparkSession, d: str) -> DataFrame:
+    u = V.usage(s, d)
+    grid = u.select("side", "scale").distinct().withColumn("domain", F.explode(F.array(*(F.lit(f"d{i}") for i in range(4)))))
+    m = R.author_means(u, ["side", "scale", "domain"]).groupBy("side", "scale", "domain").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return grid.join(m, ["side", "scale", "domain"], "left")
+
+
+@query(V.TRACE + """ SELECT role, model, count(*) AS calls, count(*) FILTER (cached) AS cached, count(error) AS errors, count(*) FILTER (refused) AS refused, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+ list_sort(list(latency_ms))[count(*) // 2 + 1] AS p50 FROM trace GROUP BY role, model""")
+def trace_rollup(s: SparkSession, d: str) -> DataFrame:
+    return R.trace_rollup(V.trace(s, d))
+
+
+@query(V.RESPONSES + " SELECT community, finish_reason, count(*) AS n, min(output_tokens) AS least, round(avg(output_tokens), 6) AS mean, max(output_tokens) AS most FROM responses GROUP BY ALL")
+def count_by(s: SparkSession, d: str) -> DataFrame:
+    t = "output_tokens"
+    return V.responses(s, d).groupBy("community", "finish_reason").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("least"), F.round(F.avg(t), 6).alias("mean"), F.max(t).alias("most"))
+
+
+@query(V.RESPONSES + " SELECT count(*) AS collected, count(DISTINCT prompt_id) * 7 AS expected, count(*) FILTER (refused) AS refused, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM responses")
+def manifest(s: SparkSession, d: str) -> DataFrame:
+    r = V.responses(s, d)
+    return r.agg(F.count(F.lit(1)).alias("collected"), (F.count_distinct("prompt_id") * 7).alias("expected"), F.count_if("refused").alias("refused"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(V.PROMPTS + ", x AS (SELECT cohort, count(*) AS n, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))) AS BIGINT) AS w FROM prompts GROUP BY cohort) SELECT cohort, n, w AS words, CAST(ceil(w * 13 / 10.0) AS BIGINT) AS input_tokens, CAST(n * 512 * 7 // 10 AS BIGINT) AS output_tokens FROM x")
+def cost_estimate(s: SparkSession, d: str) -> DataFrame:
+    x = V.prompts(s, d).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))).alias("words"))
+    return x.select("cohort", "n", "words", F.ceil(F.col("words") * 13 / 10).alias("input_tokens"), F.floor(F.col("n") * 512 * 7 / 10).alias("output_tokens"))
+
+
+_PRICES = ", ".join(f"({i}, '{p}', {a}, {b})" for i, (p, a, b) in enumerate(R.PRICES))
+
+
+@query(V.TRACE + f""", price AS (SELECT * FROM (VALUES {_PRICES}) AS p(pos, prefix, pin, pout)), m AS (SELECT model, arg_min(pin, pos) AS pin, arg_min(pout, pos) AS pout FROM (SELECT DISTINCT model FROM trace) t JOIN price ON starts_with(model, prefix) GROUP BY model)
+SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round((sum(input_tokens) * coalesce(any_value(pin), 0) + sum(output_tokens) * coalesce(any_value(pout), 0)) / 1e6, 6) AS cost_usd FROM trace LEFT JOIN m USING (model) GROUP BY model""")
+def cost_usd(s: SparkSession, d: str) -> DataFrame:
+    t = V.trace(s, d).groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return R.with_cost(t).select("model", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+@query(V.PROMPTS + " SELECT cohort, CAST(least(19, floor(codedness * 20)) AS BIGINT) AS bucket, count(*) AS n FROM prompts GROUP BY ALL")
+def histogram(s: SparkSession, d: str) -> DataFrame:
+    return R.histogram(V.prompts(s, d), "cohort", "codedness", 0.0, 1.0, 20)
+
+
+@query(V.PROMPTS + " SELECT cohort, round(avg(CAST(contains(text, '|') AS INT)), 6) AS table_share, round(avg(CAST(contains(text, '!!') AS INT)), 6) AS shout_share, round(avg(CAST(contains(text, '@') AS INT)), 6) AS at_share FROM prompts GROUP BY cohort")
+def feature_prevalence(s: SparkSession, d: str) -> DataFrame:
+    p = V.prompts(s, d)
+    has = lambda x, n: F.round(F.avg(F.contains("text", F.lit(x)).cast("int")), 6).alias(n)
+    return p.groupBy("cohort").agg(has("|", "table_share"), has("!!", "shout_share"), has("@", "at_share"))
+
+
+@query(V.PANEL + """, u AS (SELECT axis_id, CASE WHEN axis_id IN ('returned', 'taxed') THEN ['grounded', 'seeded'] ELSE ['literature'] END AS sources, count(*) FILTER (verdict) AS y FROM panel GROUP BY axis_id),
+e AS (SELECT unnest(sources) AS source, axis_id, y FROM u) SELECT source, count(*) AS n_axes, CAST(sum(y) AS BIGINT) AS n_yes, array_to_string(list(axis_id ORDER BY axis_id), ',') AS axes FROM e GROUP BY source""")
+def method_breakdown(s: SparkSession, d: str) -> DataFrame:
+    sources = F.when(F.col("axis_id").isin("returned", "taxed"), F.array(F.lit("grounded"), F.lit("seeded"))).otherwise(F.array(F.lit("literature")))
+    u = V.panel(s, d).groupBy("axis_id").agg(F.count_if("verdict").alias("y")).select(F.explode(sources).alias("source"), "axis_id", "y")
+    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n_axes"), F.sum("y").alias("n_yes"), F.array_join(F.array_sort(F.collect_list("axis_id")), ",").alias("axes"))
+
+
+# --- top-k and sets ------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS k FROM documents GROUP BY lang, source) WHERE k <= 3")
+def top_per_run(s: SparkSession, d: str) -> DataFrame:
+    n = V.table(s, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return R.first_n(n, ["lang"], [F.desc("n"), "source"], 3)
+
+
+@query(V.PROMPTS + " SELECT prompt_id, codedness, 'most' AS side FROM (SELECT * FROM prompts ORDER BY codedness DESC, doc_id LIMIT 5) UNION ALL SELECT prompt_id, codedness, 'least' FROM (SELECT * FROM prompts ORDER BY codedness, doc_id LIMIT 5)")
+def both_ends(s: SparkSession, d: str) -> DataFrame:
+    p = V.prompts(s, d)
+    end = lambda o, n: p.orderBy(o, "doc_id").limit(5).select("prompt_id", "codedness", F.lit(n).alias("side"))
+    return end(F.desc("codedness"), "most").union(end("codedness", "least"))
+
+
+@query("SELECT vec_id FROM (SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 30) ORDER BY vec_id LIMIT 10 OFFSET 5")
+def paging(s: SparkSession, d: str) -> DataFrame:
+    last = V.table(s, d, "embeddings").select("vec_id").orderBy(F.desc("vec_id")).limit(30)
+    return last.orderBy("vec_id").offset(5).limit(10)
+
+
+@query("SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de'")
+def shared_ids(s: SparkSession, d: str) -> DataFrame:
+    docs = V.table(s, d, "documents")
+    return docs.filter("lang = 'en'").select("source").intersect(docs.filter("lang = 'de'").select("source"))
+
+
+@query("(SELECT l_partkey AS k, 'only_target' AS side FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, 'only_target' FROM lineitem WHERE l_returnflag <> 'R') UNION ALL (SELECT l_partkey, 'only_baseline' FROM lineitem WHERE l_returnflag <> 'R' EXCEPT SELECT l_partkey, 'only_baseline' FROM lineitem WHERE l_returnflag = 'R')".replace("(SELECT l_partkey AS k", "SELECT * FROM (SELECT l_partkey AS k", 1))
+def one_sided(s: SparkSession, d: str) -> DataFrame:
+    li = V.table(s, d, "lineitem")
+    a, b = (li.filter(c).select(F.col("l_partkey").alias("k")) for c in ("l_returnflag = 'R'", "l_returnflag <> 'R'"))
+    return a.subtract(b).withColumn("side", F.lit("only_target")).union(b.subtract(a).withColumn("side", F.lit("only_baseline")))
+
+
+@query("SELECT doc_id, CASE WHEN toxic IS NOT NULL THEN 'new' ELSE 'old' END AS origin, coalesce(toxic, -1)::BIGINT AS value FROM documents LEFT JOIN labels USING (doc_id)")
+def merge_existing_new(s: SparkSession, d: str) -> DataFrame:
+    old = V.table(s, d, "documents").select("doc_id", F.lit("old").alias("origin"), F.lit(-1).cast("long").alias("value"))
+    new = V.table(s, d, "labels").select("doc_id", F.lit("new").alias("origin"), F.col("toxic").cast("long").alias("value"))
+    return R.upsert(old, new, "doc_id")
+
+
+@query(V.PANEL + ", r AS (SELECT axis_id, community, avg(CAST(verdict AS INT)) > 0.5 AS sig FROM panel GROUP BY ALL) SELECT axis_id, bool_and(sig) AS under_all, bool_or(sig) AS under_any FROM r GROUP BY axis_id")
+def sig_under_all_any(s: SparkSession, d: str) -> DataFrame:
+    r = V.panel(s, d).groupBy("axis_id", "community").agg((F.avg(F.col("verdict").cast("int")) > 0.5).alias("sig"))
+    return r.groupBy("axis_id").agg(F.bool_and("sig").alias("under_all"), F.bool_or("sig").alias("under_any"))
+
+
+@query("SELECT text_key, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT md5(lower(coalesce(text, ''))) AS text_key, doc_id FROM documents) GROUP BY text_key")
+def first_wins_dedupe(s: SparkSession, d: str) -> DataFrame:
+    docs = V.table(s, d, "documents").select(F.md5(F.lower(F.coalesce("text", F.lit("")))).alias("text_key"), "doc_id")
+    return docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN n = 1 THEN source ELSE concat(source, '_', n) END AS axis_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+def suffix_on_collision(s: SparkSession, d: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return V.table(s, d, "documents").withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat("source", F.lit("_"), "n")).alias("axis_id"))
+
+
+@query(V.PROMPTS + ", c AS (SELECT DISTINCT author_id FROM prompts WHERE topic_id = 0 AND cohort = 'target') SELECT DISTINCT author_id FROM prompts WHERE topic_id = 1 AND author_id NOT IN (SELECT author_id FROM c)")
+def disjoint_cohorts(s: SparkSession, d: str) -> DataFrame:
+    p = V.prompts(s, d)
+    used = p.filter("topic_id = 0 AND cohort = 'target'").select("author_id")
+    return p.filter("topic_id = 1").select("author_id").distinct().join(used, "author_id", "left_anti")
+
+
+@query(V.PROMPTS + ", n AS (SELECT prompt_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY doc_id) AS k FROM prompts) SELECT prompt_id, row_number() OVER (ORDER BY k, cohort DESC) AS place FROM n")
+def interleave(s: SparkSession, d: str) -> DataFrame:
+    return R.interleave(V.prompts(s, d), "cohort", "doc_id").select("prompt_id", "place")
+
+
+# --- diagnostics ---------------------------------------------------------------------------------------------
+
+
+@query(V.PANEL + """ SELECT 'problem' AS severity, 'repeated response' AS message, count(*) AS n FROM (SELECT response_id FROM responses GROUP BY response_id HAVING count(*) > 1)
+UNION ALL SELECT 'problem', 'verdict without response', count(*) FROM panel p WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.response_id = p.response_id)
+UNION ALL SELECT 'problem', 'community mismatch', count(*) FROM panel p JOIN responses r ON r.response_id = p.response_id WHERE r.community <> p.community
+UNION ALL SELECT 'warning', 'unparsed verdict', count(*) FROM panel WHERE verdict IS NULL
+UNION ALL SELECT 'warning', 'refused', count(*) FROM responses WHERE refused""")
+def validate_run(s: SparkSession, d: str) -> DataFrame:
+    return R.run_problems(V.responses(s, d), V.panel(s, d))
+
+
+@query(V.PANEL + " SELECT instruction_id AS run, count(DISTINCT response_id) AS n_responses, round(avg(CAST(verdict AS INT)) FILTER (community = 'target') - avg(CAST(verdict AS INT)) FILTER (community = 'baseline'), 6) AS gap FROM panel GROUP BY instruction_id")
+def compare_runs(s: SparkSession, d: str) -> DataFrame:
+    on = lambda c: F.avg(F.when(F.col("community") == c, F.col("verdict").cast("int")))
+    return V.panel(s, d).groupBy(F.col("instruction_id").alias("run")).agg(F.count_distinct("response_id").alias("n_responses"), F.round(on("target") - on("baseline"), 6).alias("gap"))
+
+
+@query(V.PANEL + " SELECT prompt_id, " + ", ".join(f"round(avg(CAST(verdict AS INT)) FILTER (axis_id = '{a}'), 6) AS {a}" for a in V.AXES) + " FROM panel GROUP BY prompt_id")
+def heat_map(s: SparkSession, d: str) -> DataFrame:
+    return V.panel(s, d).groupBy("prompt_id").pivot("axis_id", list(V.AXES)).agg(F.round(F.avg(F.col("verdict").cast("int")), 6))
