@@ -52,6 +52,17 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str] | str, rows: int,
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until df has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def words(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8; bytes.split() cuts at exactly these six bytes."""
     return text.encode().split() if text else []

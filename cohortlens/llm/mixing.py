@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Query, join_small, materialise, read
+from ._common import Query, fresh, join_small, materialise, read
 from .packing import REST, in_queues, starts
 
 TARGETS = {"src0": 0.30, "src1": 0.15, "src2": 0.10, "src3": 0.05, REST: 0.40}
@@ -163,11 +163,12 @@ def slots(docs: DataFrame, targets: dict[str, float] | None = None, block_chars:
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, all columns, in schedule order: files and the rows within them ascend by slot."""
-    order = slots(docs, targets).select(F.col("doc_id").alias("_id"), F.col("_t").alias("_th"), F.col("source").alias("_src"), F.col("slot").alias("_slot"), F.col("_pos").alias("_p"))
-    order = order.withColumn("_key2", F.xxhash64("_id", "_th", "_src"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
-    joined = keyed.join(order, F.col("_key") == F.col("_key2"))
-    return joined.repartitionByRange("_slot", "_p").sortWithinPartitions("_slot", "_p").select(*docs.columns)
+    key, own, slot, place = fresh(docs, "_key", "_own", "_slot", "_place")
+    found = slots(docs, targets)
+    order = found.select(F.xxhash64("doc_id", "_t", "source").alias(own), F.col("slot").alias(slot), F.col("_pos").alias(place))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
+    joined = keyed.join(order, F.col(key) == F.col(own))
+    return joined.repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
 
 
 def deviation(order: list[str], weights: dict[str, int], period: int = PERIOD) -> Fraction:

@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import recompression as R
-from ._common import Query, materialise, read, shuffle_partitions, words
+from ._common import Query, fresh, materialise, read, shuffle_partitions, words
 
 WINDOW = 50
 #: Bytes of text that one numpy pass takes, and windows after which a task hands over what it has.
@@ -266,34 +267,34 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     after them. n_chars follows the text.
     """
     _, facts, spans = _repeats(docs, window)
-    facts = facts.filter("copy").select(F.col("_k").alias("_kc")).distinct()
     names = docs.columns
+    key, copy, own, found, stays, was_cut = fresh(docs, "_key", "_copy", "_own", "_found", "_stays", "_was_cut")
+    facts = facts.filter("copy").select(F.col("_k").alias(copy)).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, found in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
-                if found:
-                    raw = text.encode()
-                    head = re.match(rb"[\x20\x09-\x0D]*", raw).group()
-                    w = _WORD.findall(raw)
-                    gone = removed_words(found, len(w), window)
-                    text = (head + b"".join([w[i] for i in np.flatnonzero(~gone).tolist()])).decode() if not gone.all() else None
-                    out.append((text, text is not None))
-                else:
+            for text, runs in zip(b.column("text").to_pylist(), b.column(found).to_pylist()):
+                if not runs:
                     out.append((text, True))
+                    continue
+                raw = text.encode()
+                head = re.match(rb"[\x20\x09-\x0D]*", raw).group()
+                w = _WORD.findall(raw)
+                gone = removed_words(runs, len(w), window)
+                out.append(((head + b"".join([w[i] for i in np.flatnonzero(~gone).tolist()])).decode(), not gone.all()))
             cols = [pa.array([x[0] for x in out], pa.string()) if c == "text" else b.column(c) for c in names]
             cols.append(pa.array([x[1] for x in out], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*cols, b.column("_cut")], [*names, "_stays", "_cut"])
-
-    tagged = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    spans = spans.select(F.col("_k").alias("_ks"), F.col("spans").alias("_spans"))
-    rows = tagged.join(facts.hint("shuffle_hash"), F.col("_k") == F.col("_kc"), "left_anti").join(spans.hint("shuffle_hash"), F.col("_k") == F.col("_ks"), "left")
-    rows = rows.select(*names, "_spans", F.col("_spans").isNotNull().alias("_cut"))
-    schema = docs.schema.add("_stays", "boolean").add("_cut", "boolean")
-    out = rows.mapInArrow(cut, schema).filter("_stays")
+            yield pa.RecordBatch.from_arrays([*cols, b.column(was_cut)], [*names, stays, was_cut])
+
+    tagged = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    spans = spans.select(F.col("_k").alias(own), F.col("spans").alias(found))
+    rows = tagged.join(facts.hint("shuffle_hash"), F.col(key) == F.col(copy), "left_anti").join(spans.hint("shuffle_hash"), F.col(key) == F.col(own), "left")
+    rows = rows.select(*names, found, F.col(found).isNotNull().alias(was_cut))
+    schema = StructType([*docs.schema.fields, StructField(stays, BooleanType()), StructField(was_cut, BooleanType())])
+    out = rows.mapInArrow(cut, schema).filter(F.col(stays))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(was_cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)
 
 
