@@ -32,7 +32,8 @@ def jsd_term(p: Column, q: Column) -> Column:
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """95 % score interval, within [0, 1]; (0, 1) for no trials."""
-    p, z2 = successes / F.nullif(n, F.lit(0)), Z95 * Z95
+    n = F.nullif(n, F.lit(0))
+    p, z2 = successes / n, Z95 * Z95
     centre = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = Z95 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(1.0))

@@ -151,7 +151,7 @@ def mann_whitney(df: DataFrame, by: list[str], value: str = "value", side: str =
         (F.sum(F.col("_t") * F.col("_t") - 1)).alias("tie_term"),
     )
     u = F.col("_sum") - F.col("n_target") * (F.col("n_target") + 1) / 2
-    return out.withColumn("u_target", u).withColumn("rank_biserial", 1 - 2 * F.col("u_target") / (F.col("n_target") * F.col("n_baseline"))).drop("_sum")
+    return out.withColumn("u_target", u).withColumn("rank_biserial", 1 - 2 * F.col("u_target") / F.nullif(F.col("n_target") * F.col("n_baseline"), F.lit(0))).drop("_sum")
 
 
 def mann_whitney_p(tested: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def chi_square_table(counts: DataFrame, key: str, t: str, b: str) -> DataFrame:
     all_ = Window.partitionBy()
     rows = counts.filter(F.col(t) + F.col(b) > 0).withColumns({"_t": F.sum(t).over(all_), "_b": F.sum(b).over(all_), "_k": F.count(F.lit(1)).over(all_)})
     n, col = F.col("_t") + F.col("_b"), F.col(t) + F.col(b)
-    cell = lambda o, r: F.pow(F.abs(o - r * col / n) - F.when(F.col("_k") == 2, F.least(F.lit(0.5), F.abs(o - r * col / n))).otherwise(0.0), 2) / (r * col / n)
+    cell = lambda o, r: F.pow(F.abs(o - r * col / n) - F.when(F.col("_k") == 2, F.least(F.lit(0.5), F.abs(o - r * col / n))).otherwise(0.0), 2) / F.nullif(r * col / n, F.lit(0.0))
     part = F.when((F.col("_t") > 0) & (F.col("_b") > 0), cell(F.col(t), F.col("_t")) + cell(F.col(b), F.col("_b"))).otherwise(0.0)
     tv = F.abs(F.col(t) / F.greatest(F.col("_t"), F.lit(1)) - F.col(b) / F.greatest(F.col("_b"), F.lit(1))) / 2
     return rows.agg(F.sum(part).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.sum(tv).alias("tv_distance"))
