@@ -3,7 +3,7 @@
 log posterior = log P(language | host) + text log-likelihood / TEMPER
                 + log P(declared markup language | language) + log P(address suffix | language)
 
-The text model is multinomial over lower-cased words, counted over all labelled
+The text model is multinomial over short lower-cased words, counted over all labelled
 documents by grouped aggregation. The other tables are counted over the pages
 themselves, with each page's text posterior as its label: the host prior is
 smoothed towards its registered domain's, that one towards its suffix's, and
@@ -37,6 +37,9 @@ TEXT_WORDS = 12.0
 ERROR = 0.02
 #: Words of the vocabulary: a documented bound on what is broadcast; the most frequent over all documents.
 VOCABULARY = 20_000
+#: Letters of the words that are counted: short words, mostly function words, tell languages apart
+#: and are few, so counting by task leaves little to exchange.
+LETTERS = 6
 _HIDDEN = re.compile(r"<(script|style|head|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,7 +52,7 @@ def visible_text(html: str | None) -> str:
 def word_model(docs: DataFrame) -> tuple[list[str], dict[str, list[float]]]:
     """Languages, and for each frequent word its log-probability in each language (add-one smoothed)."""
     good = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = good.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("w", "lang").agg(F.count("*").alias("n"))
+    counts = good.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LETTERS)).groupBy("w", "lang").agg(F.count("*").alias("n"))
     counts = materialise(counts, "language-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     top = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w")
