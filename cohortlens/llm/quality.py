@@ -189,8 +189,58 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(read(spark, sf_dir, "documents"))
+    return quality_verdicts(read(spark, sf_dir, "documents")).withColumn("distance2", F.round("distance2", 4))
+
+
+def _sql() -> str:
+    """The whole operator for DuckDB: base statistics, robust start, concentration steps, verdicts."""
+    xs = ", ".join(f"x{i}" for i in DIMS)
+    pairs = [(i, j) for i in DIMS for j in range(i + 1)]
+    y = []
+    for i in DIMS:
+        left = f"x{i} - m{i}" + "".join(f" - c{i}{j} * y{j}" for j in range(i))
+        y.append(f"({left}) / c{i}{i} AS y{i}")
+    distance = ", ".join(y) + ", " + " + ".join(f"y{i} * y{i}" for i in DIMS) + " AS d2"
+    start = ", ".join(f"max(q2) FILTER (dim = {i}) AS m{i}" for i in DIMS) + ", " + ", ".join(
+        f"sqrt(pow((max(q3) FILTER (dim = {i}) - max(q1) FILTER (dim = {i})) / 1.349::DOUBLE, 2) + {(FLOORS[i] * SCALE) ** 2}::DOUBLE) AS c{i}{j}" if i == j else f"0::DOUBLE AS c{i}{j}" for i, j in pairs
+    )
+    share = lambda k, of: f"round(asin(sqrt(least(1, {k} / {of}))) * {SCALE})"
+    factor = [f"a{i} / n AS m{i}" for i in DIMS]
+    for i, j in pairs:
+        left = f"{CONSISTENCY}::DOUBLE * (b{i}{j} / n - (a{i} / n) * (a{j} / n)) + {(FLOORS[i] * SCALE) ** 2 if i == j else 0}::DOUBLE" + "".join(f" - c{i}{k} * c{j}{k}" for k in range(j))
+        factor.append(f"sqrt(greatest({left}, 1e-6::DOUBLE)) AS c{i}{j}" if i == j else f"({left}) / c{j}{j} AS c{i}{j}")
+    moments = [f"CAST(sum(x{i}) AS BIGINT) AS a{i}" for i in DIMS] + [f"CAST(sum(x{i} * x{j}) AS BIGINT) AS b{i}{j}" for i, j in pairs]
+    again = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ["n", *(f"a{i}" for i in DIMS), *(f"b{i}{j}" for i, j in pairs)])
+    steps = "".join(
+        f"""
+e{k} AS (SELECT good.g, {xs}, {distance} FROM good JOIN p{k - 1} USING (g)),
+h{k} AS (SELECT g, CAST(least({BINS}, floor(sqrt(d2) * {BINS_PER_UNIT})) AS INT) AS bin, count(*) AS n, {", ".join(moments)} FROM e{k} GROUP BY ALL),
+i{k} AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY g) AS tot FROM h{k}),
+s{k} AS (SELECT g, {again} FROM i{k} WHERE cum - n < {SUBSET} * tot GROUP BY g),
+p{k} AS (SELECT g, {", ".join(factor)} FROM s{k}),"""
+        for k in range(1, C_STEPS + 1)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tri AS (SELECT r, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS s FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(3) AS x(k) GROUP BY r),
+b0 AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (r)),
+b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CAST(round(ln(greatest(word_chars, 1) / greatest(n_words, 1)) * {SCALE}) AS BIGINT) AS x0, CAST({share("n_symbols", "greatest(word_chars, 1)")} AS BIGINT) AS x1,
+  CAST({share("n_dup_lines", "greatest(len(lines), 1)")} AS BIGINT) AS x2, CAST({share("n_repeat_words", "greatest(n_words, 1)")} AS BIGINT) AS x3 FROM b0),
+gc AS (SELECT lang, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS nl FROM b WHERE NOT base_failed GROUP BY lang, source),
+gk AS (SELECT lang, source, CASE WHEN n >= {MIN_GROUP} THEN concat('s:', lang, ':', source) WHEN nl >= {MIN_GROUP} THEN concat('l:', lang) ELSE '*' END AS g FROM gc),
+rows_ AS (SELECT b.*, coalesce(g, '*') AS g FROM b LEFT JOIN gk ON b.lang IS NOT DISTINCT FROM gk.lang AND b.source IS NOT DISTINCT FROM gk.source),
+good AS (SELECT g, {xs} FROM rows_ WHERE NOT base_failed),
+lg AS ({" UNION ALL ".join(f"SELECT g, {i} AS dim, x{i} AS x, count(*) AS n FROM good GROUP BY ALL" for i in DIMS)}),
+lc AS (SELECT *, sum(n) OVER (PARTITION BY g, dim ORDER BY x) AS c, sum(n) OVER (PARTITION BY g, dim) AS tt FROM lg),
+q AS (SELECT g, dim, min(x) FILTER (c >= 0.25 * tt) AS q1, min(x) FILTER (c >= 0.5 * tt) AS q2, min(x) FILTER (c >= 0.75 * tt) AS q3 FROM lc GROUP BY g, dim),
+p0 AS (SELECT g, {start} FROM q GROUP BY g),{steps}
+f AS (SELECT rows_.*, {distance} FROM rows_ LEFT JOIN p{C_STEPS} USING (g))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUTOFF}, false) AS kept, round(d2, 4) AS distance2 FROM f"""
 
 
 QUERIES: dict[str, Query] = {"op10_quality_rules": op10_quality_rules}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_quality_rules": _sql()}
