@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Query, materialise, read
+from ._common import Query, materialise, read, shuffle_partitions
 
 K = 5
 EVERY = 50
@@ -142,8 +142,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     shards, _ = packed(clean(vectors), SHARD, "topk-vectors")
     blocks, n = packed(clean(queries), BLOCK, "topk-queries")
     # a stated query set against all rows, in blocks: each shard goes to each block of queries
-    dealt = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("block", F.col("block").cast("long"))
-    pairs = dealt.join(blocks.select(F.col("g").alias("block"), F.col("ids").alias("qids"), F.col("n").alias("qn"), F.col("x").alias("qx")), "block")
+    # and each block to as many lanes as there are partitions, so that its shards do not meet in one task
+    lanes = shuffle_partitions(vectors.sparkSession)
+    count = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = shards.withColumn("block", count(n)).withColumn("lane", F.pmod("g", F.lit(lanes)))
+    blocks = blocks.select(F.col("g").alias("block"), F.col("ids").alias("qids"), F.col("n").alias("qn"), F.col("x").alias("qx")).withColumn("lane", count(lanes))
+    pairs = dealt.join(blocks, ["block", "lane"])
     found = pairs.mapInArrow(_match(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
