@@ -1,21 +1,25 @@
 """Token ids by the tokenizers library, with a cache of words.
 
-The tokenizers used here never join text across ASCII white space and drop the
-white space itself, so a text's ids are its words' ids in order. A word's ids
-come from the library once and are then looked up; the cache keeps two
-generations of bounded size.
+The tokenizer used here never joins text across ASCII white space, drops the
+white space itself, lower-cases, and splits letters from marks, so a text's ids
+are its words' ids in order, and a word's are those of its letters and of the
+marks behind them. They come from the library once and are then looked up; the
+cache keeps two generations of bounded size.
 """
 
 from __future__ import annotations
 
 import os
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 
 #: The default tokenizer: a file name within the installed vocabulary package, or a path.
 TOKENIZER = "word_bpe_49k.json"
-GENERATION = 150_000
+GENERATION = 500_000
+#: Marks that the tokenizer splits off letters before them.
+MARKS = b".,!?;:#$%&*|"
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,7 +41,12 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.older.get(word)
-        if out is None:
+        head = word.rstrip(MARKS)
+        if out is None and head and head != word and normalize("NFC", head.decode()).lower().isalpha():
+            out = self[head] + self[word[len(head) :]]  # letters and marks are split before they are encoded
+        elif out is None and word.isalpha() and not word.islower():
+            out = self[word.lower()]  # ASCII letters alone; the tokenizer lower-cases
+        elif out is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
             out = np.array(ids, "<u4").tobytes()
         if len(self) >= GENERATION:
