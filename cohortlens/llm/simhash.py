@@ -39,24 +39,33 @@ GROUP = 2048
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of one text: a bit is 1 if set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included."""
     w = text.encode().lower().split() if text else []
     if not w:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(w)
     if len(w) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[: -shingle] + 1))
     cut = map(slice, starts.tolist(), ends[shingle - 1 :].tolist())
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, len(starts))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         ones += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long) and _t (a hash of the text) of every row."""
 
