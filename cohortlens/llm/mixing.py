@@ -168,7 +168,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     order = found.select(F.xxhash64("doc_id", "_t", "source").alias(own), F.col("slot").alias(slot), F.col("_pos").alias(place))
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
     joined = keyed.join(order, F.col(key) == F.col(own))
-    return joined.repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
+    return joined.repartitionByRange(slot, place).sortWithinPartitions(slot, place, key).select(*docs.columns)
 
 
 def deviation(order: list[str], weights: dict[str, int], period: int = PERIOD) -> Fraction:

@@ -17,12 +17,14 @@ Defined cases
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,12 +195,53 @@ def _tokenised(docs: DataFrame, targets: dict[str, float], end_id: int, tokenize
     return materialise(dealt.mapInArrow(run, "_q string, _b long, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
 
 
+def _in_order(docs: DataFrame, end_id: int, tokenizer: str) -> DataFrame:
+    """The columns of ``_tokenised`` for one queue of all rows in file and row order; nothing is exchanged.
+
+    A bucket is a run of one file's rows that a task reads one after the other: its name sorts by file, then row.
+    """
+    wide = "<u4" if tokens.vocabulary_size(tokenizer) > 1 << 16 else "<u2"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, name, at = (None, -1), "", 0
+        for b in batches:
+            names, n, begin, data = [], [], [], []
+            for file, row, text in zip(*(b.column(c).to_pylist() for c in ("_f", "_r", "text"))):
+                if (file, row - 1) != now:
+                    part = re.match(r"part-(\d+)", file)
+                    name, at = f"{int(part[1]) if part else 0:010d} {file} {row:020d}", 0
+                now = (file, row)
+                ids = np.frombuffer(tokens.encode(text, end_id, tokenizer), "<u4")
+                names.append(name)
+                n.append(len(ids))
+                begin.append(at)
+                data.append(ids.astype(wide).tobytes())
+                at += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([REST] * len(n), pa.string()), pa.array(names, pa.string()), b.column("doc_id"), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["_q", "_b", "doc_id", "_at", "n_tokens", "ids"])
+
+    place = [F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_r")]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    try:
+        rows = docs.select(*columns, *place)
+    except AnalysisException:  # not read from files: written, the rows keep their order
+        rows = materialise(docs.select(*columns), "packing-rows").select(*columns, *place)
+    return materialise(rows.mapInArrow(run, "_q string, _b string, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
+
+
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, size: int = SIZE, end_id: int = END_ID, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids (uint32 bytes), ids_crc32, doc_tokens, sequence_id, offset."""
     targets = TARGETS if targets is None else targets
     if REST not in targets or min(targets.values()) * size < 4:
         raise ValueError('targets need "*", and at least four tokens a window for each')
-    ids = _tokenised(docs, targets, end_id, tokenizer)
+    return _pieces(_tokenised(docs, targets, end_id, tokenizer), targets, size, tokenizer)
+
+
+def pack_in_order(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
+    """As ``pack``, but of one queue in the file and row order of docs, which an earlier stage decided."""
+    return _pieces(_in_order(docs, end_id, tokenizer), {REST: 1.0}, size, tokenizer)
+
+
+def _pieces(ids: DataFrame, targets: dict[str, float], size: int, tokenizer: str) -> DataFrame:
     buckets = starts(ids.groupBy("_q", "_b").agg(F.sum("n_tokens").alias("_n")), "_n")
     totals = {r["_q"]: r["n"] for r in ids.groupBy("_q").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
     plan = schedule(totals, targets, size)

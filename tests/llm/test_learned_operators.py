@@ -123,3 +123,25 @@ def test_queries_with_sql(spark, name):
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, want))
+
+
+def test_pipeline_packs_in_mixing_order(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as p
+    from cohortlens.llm import mixing, packing, tokens
+
+    rows = [(i, f"word{i} " * 4000, "en", f"src{i % 2}") for i in range(40)] + [(90, None, "en", None), (None, "x", "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(p, "STAGES", p.STAGES[3:])  # mixing and packing
+    found = []
+    for targets in ({"src0": 0.9, "*": 0.1}, {"src0": 0.1, "*": 0.9}):
+        monkeypatch.setattr(mixing, "TARGETS", targets)
+        pieces = sorted(p.run(spark, str(tmp_path)).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+        order = [r["doc_id"] for r in mixing.mix(docs).collect()]
+        texts = {r[0]: tokens.encode(r[1], packing.END_ID) for r in rows}
+        assert b"".join(r["ids"] for r in pieces) == b"".join(texts[i] for i in order)
+        found.append([(r["doc_id"], r["sequence_id"], r["offset"]) for r in pieces])
+    assert found[0] != found[1]
+    # rows that are not read from files are packed in their own order
+    pieces = packing.pack_in_order(docs.coalesce(1)).collect()
+    assert [r["doc_id"] for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])) if r["start"] == 0] == [r[0] for r in rows]
