@@ -5,7 +5,8 @@ characters. Block i of a source of weight w is released at slot floor(i / w) and
 due at slot ceil((i + 1) / w); each slot runs the released block that is due
 first. With weights in units of 1 / PERIOD the schedule repeats every PERIOD
 slots, so one period is computed by earliest deadline first, and every block
-finds its slot by arithmetic. At any slot a source is less than one block away
+finds its slot by arithmetic. A text longer than a block stands at the slot of its
+first block, and its further blocks' slots count as taken by it. At any slot a source is less than one block away
 from its share. When a source runs out, the weights of the others are shared
 anew from that slot on.
 
@@ -105,7 +106,8 @@ def phases(blocks: dict[str, int], targets: dict[str, float], period: int = PERI
 def in_blocks(docs: DataFrame, targets: dict[str, float], block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, dict[str, int]]:
     """(doc_id, _t, n_rows, _q, block, in_block) for every distinct (doc_id, text, source), and each source's number of blocks.
 
-    in_block: characters of the block's documents before this one.
+    in_block: characters of the queue since the block began. A text that runs on into further
+    blocks (equal rows: all their texts) has a row of n_rows 0 for each of them.
     """
     slim = docs.select("doc_id", F.xxhash64("text").alias("_t"), "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_n"))
     slim = slim.groupBy("doc_id", "_t", "source").agg(F.count("*").alias("n_rows"), F.max("_n").alias("_n"))
@@ -116,23 +118,23 @@ def in_blocks(docs: DataFrame, targets: dict[str, float], block_chars: int = BLO
     offsets = starts(sums, "_sum").select("_q", "_b", "_start")
     inside = Window.partitionBy("_q", "_b").orderBy("doc_id", "_t", "source").rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, ["_q", "_b"])
-    at = F.col("_start") + F.col("_at")
-    rows = rows.select("doc_id", "_t", "source", "n_rows", "_q", F.floor(at / block_chars).alias("_raw"), (at % block_chars).alias("in_block"), (F.col("_start") + F.col("_at")).alias("_pos"))
+    start = F.col("_start") + F.col("_at")
+    first, last = F.floor(start / block_chars), F.floor((start + F.greatest(F.col("_n"), F.lit(1)) - 1) / block_chars)
+    rows = rows.select("doc_id", "_t", "source", "n_rows", "_q", first.alias("block"), (start % block_chars).alias("in_block"), start.alias("_pos"), last.alias("_last"))
     rows = materialise(rows, "mixing-blocks")
-    # a text longer than a block leaves block numbers out; number those that begin a document
-    present = rows.groupBy("_q", "_raw").agg(F.lit(1).alias("one"))
-    many = 4096  # raw blocks of one bucket of the numbering
-    wide = present.withColumn("_c", F.floor(F.col("_raw") / many))
-    sizes = wide.groupBy("_q", "_c").agg(F.count("*").alias("_k"))
-    before = Window.partitionBy("_q").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    totals = {r["_q"]: r["k"] for r in sizes.groupBy("_q").agg(F.sum("_k").alias("k")).collect()}  # a row for each target
-    number = wide.join(sizes.select("_q", "_c", "_base"), ["_q", "_c"]).withColumn("block", F.col("_base") + F.row_number().over(Window.partitionBy("_q", "_c").orderBy("_raw")) - 1)
-    return rows.join(number.select("_q", "_raw", "block"), ["_q", "_raw"]).drop("_raw"), totals
+    totals = {r["_q"]: r["k"] for r in rows.groupBy("_q").agg((F.max("_last") + 1).alias("k")).collect()}  # a row for each target
+    # the blocks that a text runs on into take their slots too
+    each = rows.select("doc_id", "_t", "source", "n_rows", "_q", "in_block", "_pos", F.posexplode(F.sequence("block", "_last")).alias("_i", "block"))
+    begins = F.col("_i") == 0
+    each = each.withColumns({"n_rows": F.when(begins, F.col("n_rows")).otherwise(F.lit(0).cast("long")), "in_block": F.when(begins, F.col("in_block")).otherwise(F.lit(0).cast("long")), "_pos": F.when(begins, F.col("_pos")).otherwise(F.col("block") * block_chars)})
+    return each.drop("_i"), totals
 
 
 def slots(docs: DataFrame, targets: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """doc_id, _t, source, n_rows, _q, block, in_block, slot, release and due of every distinct row of docs."""
+    """doc_id, _t, source, n_rows, _q, block, in_block, slot, release and due of every distinct row of docs.
+
+    Further rows, of n_rows 0, hold the slots of the blocks that a long text runs on into.
+    """
     targets = TARGETS if targets is None else targets
     if REST not in targets:
         raise ValueError('targets need "*"')
@@ -164,7 +166,7 @@ def slots(docs: DataFrame, targets: dict[str, float] | None = None, block_chars:
 def mix(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, all columns, in schedule order: files and the rows within them ascend by slot."""
     key, own, slot, place = fresh(docs, "_key", "_own", "_slot", "_place")
-    found = slots(docs, targets)
+    found = slots(docs, targets).filter("n_rows > 0")
     order = found.select(F.xxhash64("doc_id", "_t", "source").alias(own), F.col("slot").alias(slot), F.col("_pos").alias(place))
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
     joined = keyed.join(order, F.col(key) == F.col(own))
@@ -182,7 +184,7 @@ def deviation(order: list[str], weights: dict[str, int], period: int = PERIOD) -
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = slots(read(spark, sf_dir, "documents"))
+    rows = slots(read(spark, sf_dir, "documents")).filter("n_rows > 0")
     rows = rows.withColumn("doc_id", F.explode(F.array_repeat("doc_id", F.col("n_rows").cast("int"))))
     return rows.select("doc_id", "source", F.col("_q").alias("queue"), "block", "in_block", "slot", "release", "due")
 

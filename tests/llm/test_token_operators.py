@@ -208,3 +208,19 @@ def test_token_counters(spark):
     df = spark.createDataFrame([("a b c, d12",), (None,), (" \t\n",)], "text string")
     n = [tuple(r) for r in df.select(token_counts.count_tokens("text", token_counts.WORDS), token_counts.count_tokens("text", token_counts.PIECES)).collect()]
     assert n == [(3, 7), (0, 0), (0, 0)]
+
+
+def test_mixing_counts_every_block_of_a_long_text(spark):
+    rows = [(i, "x" * 100, "a") for i in range(100)] + [(1000 + i, "y" * 5000, "b") for i in range(2)] + [(2000, "z" * 500, "b")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.slots(df, {"a": 0.5, "b": 0.25, "*": 0.25}, block_chars=100, period=20).collect()
+    at = defaultdict(set)
+    for r in out:
+        assert r["release"] <= r["slot"] < r["due"]
+        at[r["_q"]].add(r["slot"])
+    assert len(at["a"]) == 100 and len(at["b"]) == 200  # 10,000 and 20,000 characters
+    assert sorted(at["a"] | at["b"]) == list(range(300))
+    assert sum(r["n_rows"] for r in out) == len(rows)
+    w = mixing.units({"a": 0.5, "b": 0.25}, 20)["a"] / 20
+    for slot in range(1, 150):  # in every prefix a is less than one block of text away from its share
+        assert abs(sum(s < slot for s in at["a"]) - slot * w) < 1
