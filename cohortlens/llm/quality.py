@@ -9,7 +9,8 @@ Defined cases
 - null text: no words; base_failed, not kept. Empty and blank texts likewise.
 - null lang or source: a group of its own, like any other value.
 - groups of fewer than ``MIN_GROUP`` rows that pass the base rules take the
-  estimate of their language, or else of all documents.
+  estimate of their language, or else of all documents: of all rows that pass,
+  those of large groups too.
 - equal rows: each is judged alone, alike. Extra columns are ignored.
 - empty table: no rows.
 """
@@ -98,14 +99,15 @@ def statistic_vector() -> list[Column]:
 
 
 def _with_group(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Adds _g, the group whose estimate holds for a row, and returns the number of groups."""
-    named = stats.withColumns({"_l": F.to_json(F.struct("lang")), "_ls": F.to_json(F.struct("lang", "source"))})
+    """Adds _ls and _l (language and source, language) and _g, the finest level whose estimate holds for a row; returns the most groups there can be."""
+    # the first letter keeps a language apart from its null source, of which JSON says nothing
+    named = stats.withColumns({"_l": F.concat(F.lit("l"), F.to_json(F.struct("lang"))), "_ls": F.concat(F.lit("s"), F.to_json(F.struct("lang", "source")))})
     counts = materialise(named.filter(~F.col("base_failed")).groupBy("_l", "_ls").agg(F.count("*").alias("_n")), "quality-groups")
     n = counts.count()
     counts = counts.withColumn("_n_l", F.sum("_n").over(Window.partitionBy("_l")))
     group = F.when(F.col("_n") >= MIN_GROUP, F.col("_ls")).when(F.col("_n_l") >= MIN_GROUP, F.col("_l")).otherwise("*")
     keys = counts.select("_ls", group.alias("_g"))
-    return join_small(named.drop("_l"), keys, "_ls", n, "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_ls"), n
+    return join_small(named, keys, "_ls", n, "left").withColumn("_g", F.coalesce("_g", F.lit("*"))), 2 * n + 1
 
 
 def _start(good: DataFrame) -> DataFrame:
@@ -172,7 +174,9 @@ def quality_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     stats = base_statistics(own).select(*(f"_k{i}" for i in range(len(keep))), "lang", "source", *base, *statistic_vector())
     stats = materialise(stats, "quality-stats")
     rows, groups = _with_group(stats)
-    params = estimates(rows.filter(~F.col("base_failed")).select("_g", *(f"x{i}" for i in DIMS)), groups)
+    # a language's estimate and that of all documents are fitted on all their rows, not on those that need it alone
+    levels = F.explode(F.array("_ls", "_l", F.lit("*"))).alias("_g")
+    params = estimates(rows.filter(~F.col("base_failed")).select(levels, *(f"x{i}" for i in DIMS)), groups)
     # rows of a group with no estimate (none passed the base rules) have failed anyway
     out = join_small(rows, params, "_g", groups, "left").withColumn("distance2", _distance())
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(False)))

@@ -145,3 +145,18 @@ def test_pipeline_packs_in_mixing_order(spark, monkeypatch, tmp_path):
     # rows that are not read from files are packed in their own order
     pieces = packing.pack_in_order(docs.coalesce(1)).collect()
     assert [r["doc_id"] for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])) if r["start"] == 0] == [r[0] for r in rows]
+
+
+def test_quality_fallback_is_fitted_on_the_whole_language(spark):
+    from cohortlens.llm import quality
+
+    plain = lambda i, n=80: " ".join(f"w{(i * 37 + j * j * 11 + j) % 5000:04d}" for j in range(n))
+    odd = lambda i: plain(i) + " " + "#$%&|" * 150
+    rows = [(i, plain(i, 70 + i % 20), "de", "src0") for i in range(200)]
+    rows += [(1000 + i, odd(i), "de", "src9") for i in range(3)] + [(1010, plain(7), "de", None)]  # rare groups of a language
+    rows += [(2000, odd(5), "fr", "src0"), (2001, plain(9), None, None)]  # rare languages
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
+    assert sum(kept[i] for i in range(200)) > 190 and kept[1010] and kept[2001]
+    assert not any(kept[i] for i in (1000, 1001, 1002, 2000))
+    assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
