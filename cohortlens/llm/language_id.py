@@ -3,8 +3,8 @@
 log posterior = log P(language | host) + text log-likelihood / TEMPER
                 + log P(declared markup language | language) + log P(address suffix | language)
 
-The text model is multinomial over short lower-cased words, counted over all labelled
-documents by grouped aggregation. The other tables are counted over the pages
+The text model is multinomial over all lower-cased words, hashed to BUCKETS and counted over
+all labelled documents by grouped aggregation. The other tables are counted over the pages
 themselves, with each page's text posterior as its label: the host prior is
 smoothed towards its registered domain's, that one towards its suffix's, and
 that one towards the language shares of all pages, each with SMOOTH pseudo-pages.
@@ -21,10 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,36 +39,50 @@ SMOOTH = 5.0
 TEXT_WORDS = 12.0
 #: Share of pages whose markup or suffix says another language than theirs, at the least.
 ERROR = 0.02
-#: Words of the vocabulary: a documented bound on what is broadcast; the most frequent over all documents.
-VOCABULARY = 20_000
-#: Letters of the words that are counted: short words, mostly function words, tell languages apart
-#: and are few, so counting by task leaves little to exchange.
-LETTERS = 6
+#: Places of the word table, the bound on what is broadcast: every word has one by its hash, none is left out.
+BUCKETS = 1 << 18
+#: Letters of scripts without spaces between words (Thai to Khmer, kana, Han): each is a word, as a run of them is a sentence.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_ALONE_WIDE = (0x20000, 0x3FFFF)
 _HIDDEN = re.compile(r"<(script|style|head|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_WORD = re.compile(r"[^\W\d_]+")
+_ANY = f"[{_ALONE}{chr(_ALONE_WIDE[0])}-{chr(_ALONE_WIDE[1])}]"
+_WORD = re.compile(rf"{_ANY}|[^\W\d_{_ANY[1:-1]}]+")
+_JAVA = r"[%s\x{%x}-\x{%x}]" % (_ALONE, *_ALONE_WIDE)
+_JAVA_WORD = rf"{_JAVA}|[\p{{L}}&&[^{_JAVA[1:-1]}]]+"
 
 
 def visible_text(html: str | None) -> str:
     return unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html))) if html else ""
 
 
-def word_model(docs: DataFrame) -> tuple[list[str], dict[str, list[float]]]:
-    """Languages, and for each frequent word its log-probability in each language (add-one smoothed)."""
-    good = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = good.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LETTERS)).groupBy("w", "lang").agg(F.count("*").alias("n"))
-    counts = materialise(counts, "language-words")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w")
-    known = counts.join(F.broadcast(top), "w").groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
-    langs = sorted(totals)
-    model = {r["w"]: [math.log((r["m"].get(g, 0) + 1) / (totals[g] + VOCABULARY)) for g in langs] for r in known.toLocalIterator()}
-    return langs, model
+@lru_cache(maxsize=200_000)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
 
+def word_model(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, for each word bucket its log-probability in each language, and which buckets hold a word.
 
-def features(pages: DataFrame, langs: list[str], model: dict[str, list[float]]) -> DataFrame:
+    A bucket's share in a language is its own plus that of one more word among all languages' words.
+    So a word that one language has never shown weighs as little there as in any other, however few its words are.
+    """
+    good = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))
+    counts = good.select("lang", word.alias("w")).groupBy("lang", (F.crc32("w") % BUCKETS).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    found = counts.toArrow()  # at most BUCKETS rows a language
+    langs = sorted(found.column("lang").unique().to_pylist())
+    n = np.zeros((BUCKETS, len(langs)))
+    at = pa.compute.index_in(found.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    n[found.column("b").to_numpy(), at] = found.column("n").to_numpy()
+    if not langs:
+        return langs, n, n.any(1)
+    return langs, np.log(n / n.sum(0) + 1 / n.sum()), n.any(1)
+
+
+def features(pages: DataFrame, langs: list[str], model: np.ndarray, seen: np.ndarray) -> DataFrame:
     """page_id, host, domain, suffix, declared, n_words and text (the tempered log-likelihood of each language)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast((model.astype(np.float32), seen))
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     path = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://[^/]*/([a-z]{2})(?:[/?#]|$)", 1)
@@ -74,15 +92,15 @@ def features(pages: DataFrame, langs: list[str], model: dict[str, list[float]])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        table, seen = shared.value
         for b in batches:
             n, text = [], []
             for html in b.column("html").to_pylist():
-                found = [known[w] for w in _WORD.findall(visible_text(html).lower()) if w in known]
+                found = np.fromiter(map(_bucket, _WORD.findall(visible_text(html).lower())), np.int64)
+                found = found[seen[found]]
                 n.append(len(found))
-                sums = [sum(x) for x in zip(*found)] if found else [0.0] * len(langs)
-                scale = min(1.0, TEXT_WORDS / len(found)) if found else 0.0
-                text.append([s * scale for s in sums])
+                scale = min(1.0, TEXT_WORDS / len(found)) if len(found) else 0.0
+                text.append((table[found].sum(0, dtype=np.float64) * scale).tolist())
             keep = [c for c in b.schema.names if c != "html"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(text, pa.list_(pa.float64()))], [*keep, "n_words", "text"])
 
@@ -109,11 +127,11 @@ def _smoothed(m: str, prior: str) -> F.Column:
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, suffix, n_words, language, confidence and text_language of every page."""
-    langs, model = word_model(docs)
+    langs, model, known = word_model(docs)
     k = len(langs)
     if not k:
         return pages.limit(0).select("page_id", *(F.lit("").alias(c) for c in ("host", "declared", "suffix")), F.lit(0).cast("long").alias("n_words"), F.lit("").alias("language"), F.lit(0.0).alias("confidence"), F.lit("").alias("text_language"))
-    rows = materialise(features(pages, langs, model), "language-features")
+    rows = materialise(features(pages, langs, model, known), "language-features")
     rows = rows.withColumn("p", _posterior(F.col("text")))
     seen = rows.filter("n_words > 0")
     # host priors: four levels of grouped aggregation, each smoothed towards the one above

@@ -160,3 +160,13 @@ def test_quality_fallback_is_fitted_on_the_whole_language(spark):
     assert sum(kept[i] for i in range(200)) > 190 and kept[1010] and kept[2001]
     assert not any(kept[i] for i in (1000, 1001, 1002, 2000))
     assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_language_id_counts_long_and_rare_words(spark):
+    rows = [(i, " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[j % 26]}{'abcdefghijklmnopqrstuvwxyz'[j // 26 % 26]}{'abcdefghijklmnopqrstuvwxyz'[j // 676]}" for j in range(i * 500, i * 500 + 500)) + " common words", "en") for i in range(35)] * 3
+    rows += [(900, "verantwortung geschwindigkeit", "de"), (901, "velmi zcela", "cs"), (902, "我们在学校学习中文", "zh"), (903, "私は学校で勉強します", "ja")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = ["geschwindigkeit verantwortung", "zcela velmi", "学习中文在学校", "勉強します", "abb acb adb aeb common", "qqqqqqqq"]
+    pages = spark.createDataFrame([(i, None, f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["n_words"] > 0, r["text_language"]) for r in language_id.identify(pages, docs).collect()}
+    assert got == {0: (True, "de"), 1: (True, "cs"), 2: (True, "zh"), 3: (True, "ja"), 4: (True, "en"), 5: (False, None)}
