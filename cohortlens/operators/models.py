@@ -107,7 +107,7 @@ def mmd_fuse(vectors: DataFrame, permutations: int = 500, seed: int = 0) -> Data
     """MMD-FUSE: the soft maximum over kernels of normalised MMD statistics, against label permutations.
 
     Gaussian and Laplace kernels, ten bandwidths each between half the 5 % and twice the 95 % quantile of the
-    pairwise distances. The kernel matrices are built once; each task takes a range of permutations.
+    pairwise distances. Each task takes a range of permutations and holds one kernel matrix at a time.
     """
     spark = vectors.sparkSession
     pdf = _local(vectors, ["vec_id", "side", "v"]).sort_values("vec_id")
@@ -123,30 +123,27 @@ def mmd_fuse(vectors: DataFrame, permutations: int = 500, seed: int = 0) -> Data
         for j in range(x.shape[1]):
             l1 += np.abs(x[:, j][:, None] - x[:, j][None])
         m, n = int(t.sum()), int((~t).sum())
-        kernels = []
+        widths = []
         for dist, f in ((l2, lambda d, b: np.exp(-((d / b) ** 2) / 2)), (l1, lambda d, b: np.exp(-d / b))):
             q = dist[np.triu_indices(len(x), 1)]
             low, high = 0.5 * np.quantile(q, 0.05), 2 * np.quantile(q, 0.95)
-            for b in np.geomspace(max(low, 1e-12), max(high, 1e-12), 10):
-                k = f(dist, b)
-                np.fill_diagonal(k, 0)
-                kernels.append((k, np.sqrt((k * k).sum() / (len(x) * (len(x) - 1)))))
+            widths += [(dist, f, b) for b in np.geomspace(max(low, 1e-12), max(high, 1e-12), 10)]
         lam = np.sqrt(min(m, n) * (min(m, n) - 1))
         for b in batches:
-            out = []
-            for p in b["perm"]:
-                label = t if p < 0 else np.random.Generator(np.random.Philox(key=[seed, int(p)])).permutation(t)
-                w = np.where(label, 1 / m, -1 / n)
-                values = []
-                for k, scale in kernels:
-                    kw = k @ w
-                    s = kw @ w
-                    # unbiased: the within-side sums have m (m - 1) and n (n - 1) terms
-                    s += (k[np.ix_(label, label)].sum() * (1 / (m * (m - 1)) - 1 / m**2)) + (k[np.ix_(~label, ~label)].sum() * (1 / (n * (n - 1)) - 1 / n**2))
-                    values.append(lam * s / scale)
-                v = np.array(values)
-                out.append(v.max() + np.log(np.exp(v - v.max()).mean()))
-            yield pd.DataFrame({"perm": b["perm"], "stat": out})
+            labels = np.array([t if p < 0 else np.random.Generator(np.random.Philox(key=[seed, int(p)])).permutation(t) for p in b["perm"]], float).reshape(-1, len(x)).T
+            values = []
+            for dist, f, width in widths:  # one kernel matrix at a time
+                k = f(dist, width)
+                np.fill_diagonal(k, 0)
+                rows = k.sum(1)
+                within = (labels * (k @ labels)).sum(0)
+                touched = rows @ labels
+                # unbiased: the within-side sums have m (m - 1) and n (n - 1) terms
+                s = within / (m * (m - 1)) + (rows.sum() - 2 * touched + within) / (n * (n - 1)) - 2 * (touched - within) / (m * n)
+                values.append(lam * s / np.sqrt((k * k).sum() / (len(x) * (len(x) - 1))))
+            v = np.array(values)
+            top = v.max(0)
+            yield pd.DataFrame({"perm": b["perm"], "stat": top + np.log(np.exp(v - top).mean(0))})
 
     perms = spark.range(-1, permutations, numPartitions=8).withColumnRenamed("id", "perm")
     st = perms.mapInPandas(run, "perm long, stat double")
