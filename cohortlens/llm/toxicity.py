@@ -1,15 +1,24 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score = sigmoid(b + sum of w_t + sum over pairs of <v_s, v_t>) over the distinct
-terms of the text, so that an insult beside a group mention can weigh more than
-both apart. Terms are lower-cased letter runs and
-their first letters (inflected words share them), hashed to BUCKETS. The model is
-fitted on a bounded sample of labelled rows (documented by MAX_POSITIVE and
-MAX_NEGATIVE; the labels' proportion is put right by the bias) and is the one
-thing that goes to every executor: BUCKETS x (1 + RANK) floats.
+logit = b + sum of w_t + a^2 * sum over pairs of <v_s, v_t> (x_s - p_s) (x_t - p_t)
+
+over the distinct terms of a text: x_t is 1 if it holds t, p_t the share of the
+sample's texts that do, and a^2 = LENGTH / number of terms, at most 1, so that
+the many pairs of a long text weigh no more than those of a short one. As pairs
+are of centred terms, what a term says alone stays in w_t; an insult beside a
+group mention, or two terms that are neutral apart, goes into v. All terms have
+factors, trained together with the weights from the first step: w by AdaGrad
+under an L1 threshold, v by plain descent under L2, which lets only pairs grow
+that explain more than chance would.
+
+Terms are lower-cased letter runs and their first letters (inflected words share
+them), hashed to BUCKETS. The model is fitted on a bounded sample of labelled
+rows (documented by MAX_POSITIVE and MAX_NEGATIVE; the labels' proportion is put
+right by the bias) and is the one thing that goes to every executor: BUCKETS x
+(3 + RANK) numbers.
 
 Defined cases
-- null, empty or blank text: no terms; the score is that of the bias.
+- null, empty or blank text: no terms; the score is that of an empty set.
 - terms the sample holds in fewer than LEAST documents weigh nothing.
 - null doc_id: never labelled; held_out is false. Equal rows score alike.
 - null label, or a label for no document: not used. A document with two labels is used twice.
@@ -22,8 +31,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,91 +45,115 @@ from ._common import Query, read
 BUCKETS, RANK, LEAST = 1 << 18, 4, 3
 #: Labelled rows of each kind that the model is fitted on: the first by hash of the id.
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
-EPOCHS, PAIR_EPOCHS, BATCH, RATE, L1, L2 = 16, 3, 64, 0.3, 0.03, 0.1
-#: Terms that take part in pairs; length of the word beginnings that are terms too.
-PAIRED, PREFIX = 500, 5
+EPOCHS, BATCH, RATE, L1 = 16, 128, 0.3, 0.03
+#: Of the factors: their spread at the start, step and shrinkage; and the number of terms up to which pairs count in full.
+SPREAD, PAIR_RATE, L2, LENGTH = 0.05, 1.0, 0.04, 32
+#: Factors that have all shrunk below this can no longer grow.
+IDLE = 1e-6
+#: Length of the word beginnings that are terms too.
+PREFIX = 5
 THRESHOLD = 0.3
+#: Texts that are scored at once.
+SCORED = 256
 FOLDS, HELD_OUT = 4, 2
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
 @lru_cache(maxsize=200_000)
-def _bucket(term: bytes) -> int:
-    return zlib.crc32(term) % BUCKETS
+def _buckets(word: bytes) -> tuple[int, ...]:
+    own = zlib.crc32(word) % BUCKETS
+    if len(word) <= PREFIX:
+        return (own,)
+    return own, zlib.crc32(b"^" + word.decode(errors="ignore")[:PREFIX].encode()) % BUCKETS
 
 
 def terms(text: str | None) -> np.ndarray:
     """The sorted distinct buckets of a text's terms."""
-    found = set(_TERM.findall(text.encode().lower())) if text else set()
-    found |= {b"^" + w.decode(errors="ignore")[:PREFIX].encode() for w in found if len(w) > PREFIX}
-    return np.unique(np.fromiter(map(_bucket, found), np.int32, len(found)))
+    found = set(_TERM.findall(text.encode().lower())) if text else ()
+    return np.array(sorted(set(chain.from_iterable(map(_buckets, found)))), np.int32)
 
 
 @dataclass
 class Model:
+    """``known``: buckets of terms with a weight; ``u`` and ``k``: what centring adds to pairs."""
+
     bias: float
     w: np.ndarray
     v: np.ndarray
-
-    def logit(self, x: np.ndarray) -> float:
-        v = self.v[x]
-        s = v.sum(0)
-        return float(self.bias + self.w[x].sum() + 0.5 * (s @ s - (v * v).sum()))
-
-    def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-min(500.0, max(-500.0, self.logit(x))))))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7) -> Model:
-    """Logistic loss by AdaGrad; ``share``: label 1 among all labelled rows.
-
-    First the linear weights, under an L1 threshold; then, for the PAIRED terms of
-    the largest weights, weights and factors together, so that pairs of the many
-    neutral terms add no noise.
-    """
+    u: np.ndarray
+    k: float = 0.0
+    known: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, bool))
+
+    def pairs(self, rows: list[np.ndarray]) -> np.ndarray:
+        """What pairs add to the logit of each row."""
+        return self._parts(rows)[1]
+
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        linear, pairs = self._parts(rows)
+        return self.bias + linear + pairs
+
+    def _parts(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate([np.zeros(0, np.int32), *rows])
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = self.known[x]
+        x, of, n = x[at], of[at], len(rows)
+        sums = lambda weight: np.bincount(of, weight, n)
+        scale = LENGTH / np.maximum(np.bincount(of, minlength=n), LENGTH)
+        square = sum(sums(self.v[x, f]) ** 2 for f in range(self.v.shape[1]))
+        return sums(self.w[x]), scale * (0.5 * square + sums(self.u[x]) + self.k)
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(rows), -500, 500)))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7, rank: int = RANK) -> Model:
+    """Logistic loss over all terms' weights and factors; ``share``: label 1 among all labelled rows; rank 0 is the linear model."""
     n, ones = len(rows), int(labels.sum())
-    w, v = np.zeros(BUCKETS), np.zeros((BUCKETS, RANK))
     if not n or ones in (0, n):
         p = min(1 - 1e-6, max(1e-6, share))
-        return Model(float(np.log(p / (1 - p))), w, v)
+        return Model(float(np.log(p / (1 - p))), np.zeros(BUCKETS), np.zeros((BUCKETS, rank)), np.zeros(BUCKETS))
     df = np.bincount(np.concatenate(rows).astype(np.int64), minlength=BUCKETS)
-    rows = [x[df[x] >= LEAST] for x in rows]
+    known = df >= LEAST
+    place = np.cumsum(known) - 1
+    rows = [place[x[known[x]]] for x in rows]
+    size = np.array([len(x) for x in rows])
+    begin, flat, t = np.concatenate(([0], np.cumsum(size))), np.concatenate(rows), int(known.sum())
+    p = df[known] / n
+    off, square, scale = 1 - 2 * p, p * p, LENGTH / np.maximum(size, LENGTH)
     rng = np.random.default_rng(seed)
-    gw, gv, gb, bias = np.full(BUCKETS, 0.1), np.full((BUCKETS, RANK), 0.1), 1.0, float(np.log(ones / (n - ones)))
-    for epoch in range(EPOCHS + PAIR_EPOCHS):
-        pairs = epoch >= EPOCHS
-        if epoch == EPOCHS:
-            paired = np.argsort(-np.abs(w), kind="stable")[:PAIRED]
-            paired = paired[w[paired] != 0]
-            v[paired] = rng.normal(0, 0.05, (len(paired), RANK))
+    w, gw, gb, bias, v = np.zeros(t), np.full(t, 0.1), 1.0, float(np.log(ones / (n - ones))), rng.normal(0, SPREAD, (rank, t))
+    for _ in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             pick = order[at : at + BATCH]
-            x = np.concatenate([rows[i] for i in pick])
-            row = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            logit = bias + np.bincount(row, w[x], len(pick))
-            if pairs:
-                own = np.flatnonzero(v[x].any(1))
-                vx, of = v[x[own]], row[own]
-                s = np.stack([np.bincount(of, vx[:, f], len(pick)) for f in range(RANK)], 1)
-                logit += 0.5 * ((s * s).sum(1) - np.bincount(of, (vx * vx).sum(1), len(pick)))
+            k = len(pick)
+            x = np.concatenate([flat[begin[i] : begin[i + 1]] for i in pick])
+            row = np.repeat(np.arange(k), size[pick])
+            logit = bias + np.bincount(row, w[x], k)
+            if rank and np.abs(v).max() > IDLE:
+                s = np.stack([np.bincount(row, f[x], k) for f in v]) - (v @ p)[:, None]
+                norm = (v * v).sum(0)
+                logit += 0.5 * scale[pick] * ((s * s).sum(0) - np.bincount(row, (norm * off)[x], k) - norm @ square)
             g = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick]
-            u, inv, count = np.unique(x, return_inverse=True, return_counts=True)
-            dw = np.bincount(inv, g[row], len(u))
-            gw[u] += dw * dw
-            step = RATE / np.sqrt(gw[u])
-            moved = w[u] - step * dw
-            w[u] = np.sign(moved) * np.maximum(np.abs(moved) - step * L1 * count, 0)
-            if pairs and len(own):
-                u, inv, count = np.unique(x[own], return_inverse=True, return_counts=True)
-                each = g[of][:, None] * (s[of] - vx)
-                dv = np.stack([np.bincount(inv, each[:, f], len(u)) for f in range(RANK)], 1) + L2 * count[:, None] * v[u]
-                gv[u] += dv * dv
-                v[u] -= 0.3 * RATE / np.sqrt(gv[u]) * dv
+            dw, count = np.bincount(x, g[row], t), np.bincount(x, minlength=t)
+            gw += dw * dw
+            step = RATE / np.sqrt(gw)
+            moved = w - step * dw
+            w = np.where(count > 0, np.sign(moved) * np.maximum(np.abs(moved) - step * L1 * count, 0), w)
+            if rank and np.abs(v).max() > IDLE:
+                g2 = g * scale[pick]
+                each, whole, total = np.bincount(x, g2[row], t), s @ g2, g2.sum()
+                for f in range(rank):
+                    dv = np.bincount(x, (g2 * s[f])[row], t) - p * whole[f] - v[f] * (each * off + total * square)
+                    v[f] -= PAIR_RATE * (dv / k + L2 * v[f])
             gb += g.sum() ** 2
             bias -= RATE / np.sqrt(gb) * g.sum()
+    centre, norm = v @ p, (v * v).sum(0)
+    out_w, out_v, out_u = np.zeros(BUCKETS), np.zeros((BUCKETS, rank)), np.zeros(BUCKETS)
+    out_w[known], out_v[known], out_u[known] = w, v.T, -(centre @ v) - 0.5 * norm * off
     true, seen = share / (1 - share), ones / (n - ones)
-    return Model(bias + float(np.log(true / seen)) if 0 < share < 1 else bias, w, v)
+    bias += float(np.log(true / seen)) if 0 < share < 1 else 0.0
+    return Model(bias, out_w, out_v, out_u, float(0.5 * (centre @ centre - norm @ square)), known)
 
 
 def held_out() -> F.Column:
@@ -148,13 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, *(x.astype(np.float32) for x in (model.w, model.v, model.u)), model.k, model.known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in batches:
-            scores = [m.score(terms(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
+            scores = [np.zeros(0)]
+            for at in range(0, len(b), SCORED):
+                scores.append(m.scores([terms(t) for t in b.column("text").slice(at, SCORED).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held_out().alias("held_out"), "text")
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")

@@ -48,21 +48,30 @@ def test_topk_over_many_shards_and_large_numbers(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 10)
 
 
-def test_toxicity_learns_pairs():
+@pytest.mark.parametrize("both", [False, True])
+def test_toxicity_learns_pairs_that_weights_cannot(both):
+    """Label 1 where exactly one (or: both or none) of two words occurs: each word alone says nothing."""
     rng = np.random.default_rng(0)
     rows, labels = [], []
-    for i in range(1500):
-        words = {f"f{j}" for j in rng.integers(0, 200, 10)}
-        insult, group = i % 2 == 0, i % 3 == 0
+    for _ in range(2000):
+        words = {f"f{j}{'abcdefghij'[j % 10]}" for j in rng.integers(0, 300, int(rng.integers(5, 30)))}
+        words = {w.translate(str.maketrans("0123456789", "klmnopqrst")) for w in words}
+        insult, group = rng.integers(0, 2, 2)
         words |= ({"insult"} if insult else set()) | ({"group"} if group else set())
         rows.append(toxicity.terms(" ".join(words)))
-        labels.append(float(insult and group))
-    m = toxicity.fit(rows[:1000], np.array(labels[:1000]), 1 / 6)
-    s = np.array([m.score(x) for x in rows[1000:]])
-    y = np.array(labels[1000:])
-    assert s[y == 1].min() > s[y == 0].mean() and np.mean((s >= 0.3) == (y == 1)) > 0.97
-    pair = m.v[toxicity.terms("insult")] @ m.v[toxicity.terms("group")].T
-    assert pair.max() > 0
+        labels.append(float((insult == group) == both))
+    y = np.array(labels)
+    full, linear = (toxicity.fit(rows[:1500], y[:1500], 0.5, rank=r) for r in (toxicity.RANK, 0))
+    right = lambda m: np.mean((m.scores(rows[1500:]) >= 0.5) == (y[1500:] == 1))
+    assert right(full) > 0.97 and right(linear) < 0.6
+    assert np.allclose(full.logits(rows[:40]), np.concatenate([full.logits([r]) for r in rows[:40]]))
+    # by the definition, pair by pair
+    x = [i for i in rows[3] if full.known[i]]
+    p = np.bincount(np.concatenate(rows[:1500]), minlength=toxicity.BUCKETS) / 1500
+    known = np.flatnonzero(full.known)
+    c = (np.isin(known, x) - p[known])[:, None] * full.v[known]
+    want = 0.5 * ((c.sum(0) ** 2).sum() - (c * c).sum()) * toxicity.LENGTH / max(len(x), toxicity.LENGTH)
+    assert abs(full.pairs([rows[3]])[0] - want) < 1e-6
 
 
 def test_toxicity_held_out_accuracy_and_edge_cases(spark):
