@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import language_id, topk, toxicity
 
@@ -9,43 +10,62 @@ DATA = "/root/testdata/sf0.01"
 
 
 def brute(rows, queries, k=5):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(c is None or not np.isfinite(c) for c in v):
-            continue
-        best[i] = min(best.get(i, v), v)
-    q = {i: [int(np.floor(256 * c)) for c in v] for i, v in best.items()}
+    q = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     out = []
-    for i in sorted(q):
+    for r, (i, v) in enumerate(q):
         if i % queries == 0:
-            dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-            near = sorted((-dot(q[i], q[j]), j) for j in q if j != i)[:k]
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(near, 1)]
-    return out
+            near = sorted((-sum(x * y for x, y in zip(v, w)), j) for s, (j, w) in enumerate(q) if s != r)[:k]
+            out += [(i, n, j, -score) for n, (score, j) in enumerate(near, 1)]
+    return sorted(out)
 
 
-def test_topk_equals_brute_force(spark):
+def test_topk_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(np.float32(c)) for c in rng.normal(0, 0.1, 24)]) for i in range(300)]
     rows += [(i, rows[0][1]) for i in range(300, 320)]  # ties
     rows += [(400, None), (401, [None] * 24), (402, [float("nan")] * 24), (None, rows[1][1]), (5, rows[6][1]), (450, [0.5] * 3), (451, [])]
+    rows += [(50, rows[50][1]), (50, rows[51][1])]  # a repeated query, once with another vector
     df = spark.createDataFrame([(i, v, "clash", 0) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
-    for shard in (4096, 37):
-        got = topk.top_k(df, df.filter("vec_id % 50 = 0"))
+    every = F.col("vec_id") % 50 == 0
+    for shard, seeds in ((4096, 1024), (37, 64), (37, 2)):
+        monkeypatch.setattr(topk, "SHARD", shard)
+        monkeypatch.setattr(topk, "SEEDS", seeds)
+        got = topk.top_k(df, every)
         assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 50)
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
-    one = df.filter("vec_id = 0")
-    assert topk.top_k(one, one).count() == 0
+    assert topk.top_k(df.limit(0), every).count() == 0
+    assert topk.top_k(df.filter("vec_id = 0"), every).count() == 0
 
 
 def test_topk_over_many_shards_and_large_numbers(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "BLOCK", 3)
     rng = np.random.default_rng(4)
-    rows = [(int(i), rng.normal(0, 1e6, 6).tolist()) for i in range(220)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, df.filter("vec_id % 10 = 0"))
-    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 10)
+    for scale in (1e6, 1e18):
+        rows = [(int(i), rng.normal(0, scale, 6).tolist()) for i in range(120)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.top_k(df, F.col("vec_id") % 10 == 0)
+        hold = lambda r: (*r[:3], max(topk.INT64[0], min(topk.INT64[1], r[3])))
+        want = brute(rows, 10)
+        found = sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect())
+        assert [(r[0], r[1], r[3]) for r in found] == [(r[0], r[1], r[3]) for r in map(hold, want)]
+
+
+def test_topk_leaves_postings_early():
+    """Vectors of few strong terms: most rows are never looked at, and the essential terms are few."""
+    rng = np.random.default_rng(8)
+    m = rng.integers(0, 4, (4000, 32))
+    for i in range(4000):
+        m[i, rng.integers(0, 32, 2)] += rng.integers(50, 200, 2)
+    shard, ids = topk.Shard.of(m), np.arange(4000)
+    looked = 0
+    for i in range(0, 4000, 400):
+        want = sorted((-int(m[i] @ m[j]), j) for j in range(4000) if j != i)[:5]
+        threshold = sorted(int(m[i] @ m[j]) for j in range(1000) if j != i)[-5]
+        own, free, seen = shard.candidates(m[i], threshold)
+        looked += len(seen)
+        assert len(own) + len(free) == 32 and len(free) > 0
+        assert [(-s, j) for s, j in topk.search(m[i], i, shard, ids, ids, threshold)] == want
+    assert looked < 0.5 * 4000 * 10
 
 
 @pytest.mark.parametrize("both", [False, True])
