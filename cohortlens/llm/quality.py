@@ -38,11 +38,16 @@ FLOORS = (0.06, 0.05, 0.15, 0.15)
 #: heavier tails than a normal law, so this is far above its 0.999 quantile (18.5).
 CUTOFF = 30.0
 BINS, BINS_PER_UNIT = 2047, 32
+#: Bits of a window's hash, less those that its place takes.
+HASH_BITS = 64
 DIMS = range(len(FLOORS))
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _n_lines and base_failed.
+
+    docs must have none of these columns, nor helpers of the names dropped at the end.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     flat = text
     for c in WHITESPACE:
@@ -57,23 +62,21 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         }
     )
     # A window's hash and, in the low bits, its place: sorting brings equal windows
-    # together. Only as many low bits as the text needs, so 44 bits or more stay for
-    # the hash of all but texts of over a million words.
-    out = out.withColumns({"_b": F.length(F.bin(F.col("n_words")))})
-    out = out.withColumn(
-        "_h",
-        F.expr(
-            "CASE WHEN n_words < 4 THEN array(0L) ELSE transform(sequence(0L, n_words - 3L), i -> "
-            "shiftleft(xxhash64(_w[cast(i as int)], _w[cast(i as int) + 1], _w[cast(i as int) + 2]), _b) | i) END"
-        ),
-    ).withColumn("_s", F.expr("sort_array(_h)"))
-    out = out.withColumn(
-        "_p",
-        F.expr(
-            "filter(_s, (x, i) -> shiftrightunsigned(x, _b) = shiftrightunsigned(get(_s, i - 1), _b) "
-            "OR shiftrightunsigned(x, _b) = shiftrightunsigned(get(_s, i + 1), _b))"
-        ),
-    ).withColumn("_p", F.expr("sort_array(transform(_p, x -> x & (shiftleft(1L, _b) - 1L)))"))
+    # together. Windows beside each other with equal hashes have their words compared; should
+    # they differ anywhere in a text, its windows are sorted by their words instead.
+    out = out.withColumn("_b", F.greatest(F.length(F.bin(F.col("n_words"))), F.lit(64 - HASH_BITS)))
+    word = lambda at, k: f"_w[cast({at} + {k} as int)]"
+    three = lambda at: ", ".join(word(at, k) for k in range(3))
+    place = lambda x: f"({x} & (shiftleft(1L, _b) - 1L))"
+    out = out.withColumn("_h", F.expr(f"CASE WHEN n_words < 4 THEN array(0L) ELSE transform(sequence(0L, n_words - 3L), i -> shiftleft(xxhash64({three('i')}), _b) | i) END")).withColumn("_s", F.expr("sort_array(_h)"))
+    same = lambda x, y: f"shiftrightunsigned({x}, _b) = shiftrightunsigned({y}, _b)"
+    out = out.withColumn("_p", F.expr(f"filter(_s, (x, i) -> {same('x', 'get(_s, i - 1)')} OR {same('x', 'get(_s, i + 1)')})"))
+    differ = " OR ".join(f"{word(place('x'), k)} <> {word(place('get(_p, i - 1)'), k)}" for k in range(3))
+    out = out.withColumn("_mixed", F.expr(f"exists(transform(_p, (x, i) -> i > 0 AND {same('x', 'get(_p, i - 1)')} AND ({differ})), x -> x)"))
+    by_words = f"array_sort(transform(sequence(0L, n_words - 3L), i -> struct(concat_ws(' ', {three('i')}) AS s, i AS p)))"
+    repeated = "filter(_o, (x, i) -> x.s = get(_o, i - 1).s OR x.s = get(_o, i + 1).s)"
+    out = out.withColumn("_o", F.expr(f"CASE WHEN _mixed THEN {by_words} END"))
+    out = out.withColumn("_p", F.expr(f"sort_array(CASE WHEN _mixed THEN transform({repeated}, x -> x.p) ELSE transform(_p, x -> {place('x')}) END)"))
     out = out.withColumns(
         {
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -82,7 +85,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         }
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.drop("_flat", "_w", "_lines", "_b", "_h", "_s", "_p")
+    return out.drop("_flat", "_w", "_lines", "_b", "_h", "_s", "_p", "_mixed", "_o")
 
 
 def statistic_vector() -> list[Column]:
@@ -235,9 +238,10 @@ b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words <
   CAST(round(ln(greatest(word_chars, 1) / greatest(n_words, 1)) * {SCALE}) AS BIGINT) AS x0, CAST({share("n_symbols", "greatest(word_chars, 1)")} AS BIGINT) AS x1,
   CAST({share("n_dup_lines", "greatest(len(lines), 1)")} AS BIGINT) AS x2, CAST({share("n_repeat_words", "greatest(n_words, 1)")} AS BIGINT) AS x3 FROM b0),
 gc AS (SELECT lang, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS nl FROM b WHERE NOT base_failed GROUP BY lang, source),
-gk AS (SELECT lang, source, CASE WHEN n >= {MIN_GROUP} THEN concat('s:', lang, ':', source) WHEN nl >= {MIN_GROUP} THEN concat('l:', lang) ELSE '*' END AS g FROM gc),
-rows_ AS (SELECT b.*, coalesce(g, '*') AS g FROM b LEFT JOIN gk ON b.lang IS NOT DISTINCT FROM gk.lang AND b.source IS NOT DISTINCT FROM gk.source),
-good AS (SELECT g, {xs} FROM rows_ WHERE NOT base_failed),
+gn AS (SELECT *, concat('s', to_json({{'l': lang, 's': source}})) AS gs, concat('l', to_json({{'l': lang}})) AS gl FROM gc),
+gk AS (SELECT lang, source, gs, gl, CASE WHEN n >= {MIN_GROUP} THEN gs WHEN nl >= {MIN_GROUP} THEN gl ELSE '*' END AS g FROM gn),
+rows_ AS (SELECT b.*, gs, gl, coalesce(g, '*') AS g FROM b LEFT JOIN gk ON b.lang IS NOT DISTINCT FROM gk.lang AND b.source IS NOT DISTINCT FROM gk.source),
+good AS (SELECT unnest([gs, gl, '*']) AS g, {xs} FROM rows_ WHERE NOT base_failed),
 lg AS ({" UNION ALL ".join(f"SELECT g, {i} AS dim, x{i} AS x, count(*) AS n FROM good GROUP BY ALL" for i in DIMS)}),
 lc AS (SELECT *, sum(n) OVER (PARTITION BY g, dim ORDER BY x) AS c, sum(n) OVER (PARTITION BY g, dim) AS tt FROM lg),
 q AS (SELECT g, dim, min(x) FILTER (c >= 0.25 * tt) AS q1, min(x) FILTER (c >= 0.5 * tt) AS q2, min(x) FILTER (c >= 0.75 * tt) AS q3 FROM lc GROUP BY g, dim),

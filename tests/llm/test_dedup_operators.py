@@ -181,15 +181,17 @@ def reference_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
-def test_base_statistics(spark):
+@pytest.mark.parametrize("bits", [64, 3])
+def test_base_statistics(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "HASH_BITS", bits)  # at three bits unequal windows often have one hash
     rows = texts(2) + [(90, "a b c a b c"), (91, "a b c"), (92, "a\nb\na\n \n \x1cé"), (93, "#$ 😀<|> a\x0bb\x0cc"), (94, "x x x x"), (95, " a b a b a b ")]
     got = quality.base_statistics(frame(spark, rows)).collect()
     for r in got:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == reference_base(r["text"]), r["text"][:50]
 
 
-def reference_mcd(x):
-    """The same estimator in numpy: robust start, then concentration by distance bins."""
+def reference_mcd(x, of=None):
+    """The same estimator in numpy: robust start, then concentration by distance bins; distances of the rows ``of``."""
     floors = np.array(quality.FLOORS) * quality.SCALE
     n = len(x)
 
@@ -199,14 +201,14 @@ def reference_mcd(x):
 
     mean = np.array([q(0.5, x[:, i]) for i in range(4)], float)
     cov = np.diag([((q(0.75, x[:, i]) - q(0.25, x[:, i])) / 1.349) ** 2 for i in range(4)]) + np.diag(floors**2)
-    dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    dist = lambda y=x: np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
     for _ in range(quality.C_STEPS):
         b = np.minimum(quality.BINS, np.floor(np.sqrt(dist()) * quality.BINS_PER_UNIT))
         upto = np.sort(b)[int(np.ceil(quality.SUBSET * n)) - 1]
         h = x[b <= upto]
         mean = h.mean(0)
         cov = quality.CONSISTENCY * (h.T @ h / len(h) - np.outer(mean, mean)) + np.diag(floors**2)
-    return dist()
+    return dist(x if of is None else of)
 
 
 def test_outliers_equal_numpy_and_junk_goes(spark):
@@ -228,6 +230,25 @@ def test_outliers_equal_numpy_and_junk_goes(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(240) if i % 9}
 
 
+def test_small_groups_take_the_estimate_of_whole_levels(spark):
+    """Two sources of a language, one large and one small; a language too small for an estimate of its own."""
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefgh'[i % 8] * (i % 6 + 2)}{i}" for i in range(900)]
+    rows = []
+    for i in range(220):
+        w = [words[j] for j in rng.integers(0, 900, int(rng.integers(60, 160)))]
+        odd = i >= 210
+        rows.append((i, " ".join(x + "###" if odd else x for x in w), "de" if i < 206 else "fr", "big" if i < 190 else "small"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
+    base = [reference_base(r[1]) for r in rows]
+    x = np.array([[round(np.log(c / n) * 1000), round(np.arcsin(np.sqrt(min(1, s / c))) * 1000), 0, round(np.arcsin(np.sqrt(r / n)) * 1000)] for n, c, s, d, r in base], float)
+    language, everything = reference_mcd(x[:206], x), reference_mcd(x, x)
+    assert np.allclose([got[i]["distance2"] for i in range(190, 206)], language[190:206], rtol=1e-6)
+    assert np.allclose([got[i]["distance2"] for i in range(206, 220)], everything[206:], rtol=1e-6)
+    assert not any(got[i]["kept"] for i in range(210, 220)) and all(got[i]["kept"] for i in range(190, 206))
+
+
 def test_quality_edge_cases(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (None, "w " * 60, None, None), (3, " ".join(f"a{i}" for i in range(60)), None, "s"), (3, " ".join(f"a{i}" for i in range(60)), None, "s")]
     df = spark.createDataFrame([(i, t, g, s, 0, *EXTRA) for i, t, g, s in rows], SCHEMA)

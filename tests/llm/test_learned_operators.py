@@ -138,7 +138,7 @@ def test_pipeline_stages(spark):
     assert p.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("name", ["op1_token_counts", "op9_exact_topk"])
+@pytest.mark.parametrize("name", ["op1_token_counts", "op4_substring_dedup", "op9_exact_topk", "op10_quality_rules"])
 def test_queries_with_sql(spark, name):
     import duckdb
     from pathlib import Path
@@ -151,7 +151,8 @@ def test_queries_with_sql(spark, name):
     df = registry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
-    assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, want))
+    cell = lambda v: "%.3f" % v if isinstance(v, float) else str(v)
+    assert sorted([[cell(r[c]) for c in cols] for r in df.collect()]) == sorted([[cell(v) for v in r] for r in want])
 
 
 def test_pipeline_packs_in_mixing_order(spark, monkeypatch, tmp_path):
