@@ -23,23 +23,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Where that setting is unset (a local session) a temporary folder takes its
-    place; it is removed when the process ends.
+    Where that setting is unset in a local session a temporary folder takes its
+    place; it is removed when the process ends. On a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dirs:
             _own_dirs.append(tempfile.TemporaryDirectory(prefix="cohortlens-"))
         root = _own_dirs[0].name
     return f"{root.rstrip('/')}/cohortlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table: cuts lineage, computes once, survives lost executors."""
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """The rows as a written table: cuts lineage, computes once, survives lost executors.
+
+    ``instead_of``: a table written before that nothing needs any more; it is removed.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if instead_of is not None and getattr(instead_of, "_written", None):
+        file_system(spark, instead_of._written).delete(hadoop_path(spark, instead_of._written), True)
+    return out
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that a path is in."""
+    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,14 +3,20 @@
 A table folder holds, for each committed batch, signed document rows
 (``batch=<id>/rows``: +1 for an insert, -1 for a delete, both for a revision)
 and the totals after it (``batch=<id>/totals``), by source, language and
-tokenizer version. Totals are additive, so a batch costs its own rows and the
-totals, never the corpus. A batch is committed by the last thing written, its
-record in ``commits``; one that was interrupted has none and is written anew,
-and one that is replayed changes nothing.
+tokenizer version. Totals are additive: a batch adds its own signed rows to them.
 
 A change is (doc_id, tokenizer, op, source, lang, n_tokens); op is "upsert" or
 "delete". What a document counted before comes from the ledger, the sum of all
-signed rows, so feeds need not carry old values.
+signed rows, so feeds need not carry old values. The ledger is dealt into
+BUCKETS by a hash of doc_id, and a batch reads the buckets of its own documents
+alone; after COMPACT batches their rows are summed into one (``batch=<id>/base``),
+so that a bucket is at most COMPACT + 1 pieces however many batches there were.
+
+A batch is committed by the last thing written, its record in ``commits``. The
+record's name is its place in the order and is created exclusively, so of two
+writers that start from the same state one commits and the other begins again
+from the new state. An interrupted batch has no record and is written anew; one
+that is replayed changes nothing.
 
 Defined cases
 - null source or lang: a group of its own. Null text: zero tokens.
@@ -24,15 +30,22 @@ Defined cases
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+from uuid import uuid4
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
-from ._common import Query, materialise, read, shared_dir
+from ._common import Query, file_system, hadoop_path, materialise, read, shared_dir
 
 GROUP = ["source", "lang", "tokenizer"]
 ROWS = "doc_id long, tokenizer string, source string, lang string, n_tokens long, sign int"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-COMMITS = "batch long, checksum string, previous long"
+#: Parts of the ledger, and batches after which their rows are summed.
+BUCKETS, COMPACT = 16, 8
 #: Tokenizer versions that SQL can express: white-space words, and letter or digit runs and single marks.
 WORDS, PIECES = "words-1", "pieces-2"
 
@@ -43,73 +56,122 @@ def count_tokens(text: Column | str, tokenizer: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+@dataclass
+class Commit:
+    """``place``: the folder of the batch's rows and totals; ``base``: the folder of a compacted ledger, ``runs``: those of the batches since."""
+
+    batch: int
+    checksum: str
+    place: str
+    base: str | None
+    runs: list[str]
+
+
 class Rollup:
     """A delta-maintained rollup in one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def commits(self) -> list[tuple[int, str, int | None]]:
-        """(batch, checksum, previous) in order of commit; a row for each batch, a few bytes."""
-        if not self._exists(f"{self.folder}/commits"):
+    def commits(self) -> list[Commit]:
+        """In order; a record for each batch, a few hundred bytes."""
+        path, fs = f"{self.folder}/commits", file_system(self.spark, self.folder)
+        if not fs.exists(hadoop_path(self.spark, path)):
             return []
-        rows = {r["batch"]: r for r in self.spark.read.schema(COMMITS).parquet(f"{self.folder}/commits").collect()}
-        after = {r["previous"]: r for r in rows.values()}
-        out, at = [], None
-        while at in after:
-            out.append((after[at]["batch"], after[at]["checksum"], at))
-            at = after[at]["batch"]
+        names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path(self.spark, path)))
+        names = [n for n in names if n.endswith(".json")]
+        io, out = self.spark._jvm.org.apache.commons.io.IOUtils, []
+        for n in names:
+            stream = fs.open(hadoop_path(self.spark, f"{path}/{n}"))
+            try:
+                out.append(Commit(**json.loads(bytes(io.toByteArray(stream)).decode())))
+            finally:
+                stream.close()
         return out
 
-    def _rows(self, batches: list[int]) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], ROWS)
-        return self.spark.read.schema(ROWS).parquet(*(f"{self.folder}/batch={b}/rows" for b in batches))
+    def _publish(self, n: int, record: Commit) -> bool:
+        """Writes the n-th record; False if there is one."""
+        path = hadoop_path(self.spark, f"{self.folder}/commits/{n:012d}.json")
+        try:
+            stream = file_system(self.spark, self.folder).create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        stream.write(bytearray(json.dumps(asdict(record)).encode()))
+        stream.close()
+        return True
+
+    def _ledger(self, last: Commit | None, buckets: list[int] | None) -> DataFrame:
+        """Signed rows that stand in the ledger, of all buckets or of some."""
+        places = [] if last is None else [*([last.base] if last.base else []), *last.runs]
+        rows = None
+        for p in places:
+            try:
+                part = self.spark.read.schema(f"{ROWS}, bucket int").parquet(p)
+            except AnalysisException:  # a batch of no rows
+                continue
+            rows = part if rows is None else rows.union(part)
+        if rows is None:
+            return self.spark.createDataFrame([], f"{ROWS}, bucket int")
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer after the last committed batch."""
-        done = self.commits()
+        return self._totals(self.commits())
+
+    def _totals(self, done: list[Commit]) -> DataFrame:
         if not done:
             return self.spark.createDataFrame([], TOTALS)
-        return self.spark.read.schema(TOTALS).parquet(f"{self.folder}/batch={done[-1][0]}/totals")
+        return self.spark.read.schema(TOTALS).parquet(f"{done[-1].place}/totals")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
+        bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.buckets)).cast("int")
         changes = changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL AND op IN ('upsert', 'delete')").select(
             F.col("doc_id").cast("long").alias("doc_id"), "tokenizer", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.col("seq").cast("long").alias("seq")
         )
         changes = materialise(changes, "token-changes")
-        row = changes.agg(F.count("*"), F.sum(F.xxhash64(*changes.columns).cast("decimal(38,0)"))).first()
-        checksum = f"{row[0]}:{row[1]}"
-        done = self.commits()
-        for b, seen, _ in done:
-            if b == batch:
-                if seen != checksum:
-                    raise ValueError(f"batch {batch} was committed with other content")
-                return False
+        found = changes.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*changes.columns).cast("decimal(38,0)")).alias("sum"), F.collect_set(bucket).alias("buckets")).first()
+        while True:
+            done = self.commits()
+            for c in done:
+                if c.batch == batch:
+                    if c.checksum != f"{found['n']}:{found['sum']}":
+                        raise ValueError(f"batch {batch} was committed with other content")
+                    return False
+            if self._publish(len(done), self._write(batch, changes, f"{found['n']}:{found['sum']}", found["buckets"], done)):
+                return True
+
+    def _write(self, batch: int, changes: DataFrame, checksum: str, buckets: list[int], done: list[Commit]) -> Commit:
+        """Rows, totals and now and then a compacted ledger of a batch, in a folder of its own."""
         key = ["doc_id", "tokenizer"]
-        last = Window.partitionBy(*key).orderBy(F.col("seq").desc_nulls_last(), F.col("op"), F.desc("n_tokens"), F.col("source"), F.col("lang"))
-        new = changes.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(*key, "op", "source", "lang", "n_tokens")
+        order = Window.partitionBy(*key).orderBy(F.col("seq").desc_nulls_last(), F.col("op"), F.desc("n_tokens"), F.col("source"), F.col("lang"))
+        new = changes.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*key, "op", "source", "lang", "n_tokens")
+        last = done[-1] if done else None
         # the ledger's rows of these documents alone; what stands there now is what signed rows do not cancel
-        old = self._rows([b for b, *_ in done]).join(new.select(*key), key, "left_semi")
+        old = self._ledger(last, buckets).join(new.select(*key), key, "left_semi")
         old = old.groupBy(*key, "source", "lang", "n_tokens").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
         minus = old.select(*key, "source", "lang", "n_tokens", (-F.col("sign")).cast("int").alias("sign"))
         plus = new.filter("op = 'upsert'").select(*key, "source", "lang", "n_tokens", F.lit(1).alias("sign"))
         delta = minus.union(plus).groupBy(*key, "source", "lang", "n_tokens").agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
-        place = f"{self.folder}/batch={batch}"
-        delta.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "sign").write.mode("overwrite").parquet(f"{place}/rows")
-        signed = self._rows([batch]).select(*GROUP, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        place = f"{self.folder}/batch={batch}/{uuid4().hex}"
+        self._put(delta.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "sign", bucket), f"{place}/rows")
+        record = Commit(batch, checksum, place, last.base if last else None, [*(last.runs if last else []), f"{place}/rows"])
+        signed = self._ledger(Commit(batch, checksum, place, None, [f"{place}/rows"]), None).select(*GROUP, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         # a hot group is summed within each task first
-        totals = self.totals().unionByName(signed).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
-        totals.write.mode("overwrite").parquet(f"{place}/totals")
-        previous = done[-1][0] if done else None
-        self.spark.createDataFrame([(batch, checksum, previous)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
-        return True
+        totals = self._totals(done).unionByName(signed).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
+        totals.write.parquet(f"{place}/totals")
+        if len(record.runs) > COMPACT:
+            rows = self._ledger(record, None).groupBy(*key, "source", "lang", "n_tokens", "bucket").agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
+            self._put(rows.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "sign", "bucket"), f"{place}/base")
+            record.base, record.runs = f"{place}/base", []
+        return record
+
+    def _put(self, rows: DataFrame, path: str) -> None:
+        """Rows by bucket; a task writes few files, as each holds few buckets."""
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))).sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def changes(docs: DataFrame, tokenizer: str, op: str = "upsert", seq: int = 0) -> DataFrame:

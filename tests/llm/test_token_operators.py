@@ -193,17 +193,72 @@ def test_token_count_rollup(spark):
     assert r.commit(2, feed([(1, "t", "delete", None, None, None, 1, ""), (8, "t", "delete", None, None, None, 1, ""), (2, "t", "upsert", "b", "en", 3, 1, ""), (2, "t", "upsert", "b", "en", 4, 2, "")]))
     assert totals() == {("b", "en"): (1, 4), (None, None): (1, 0)}
     assert r.commit(3, first.limit(0)) and totals() == {("b", "en"): (1, 4), (None, None): (1, 0)}
-    assert [b for b, *_ in r.commits()] == [1, 2, 3]
+    assert [c.batch for c in r.commits()] == [1, 2, 3]
 
 
-def test_interrupted_batch_is_written_anew(spark):
-    folder = shared_dir(spark, "roll")
-    r = token_counts.Rollup(spark, folder)
-    rows = spark.createDataFrame([(1, "t", "upsert", "a", "en", 5, 0)], "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq long")
-    spark.createDataFrame([], token_counts.ROWS).write.parquet(f"{folder}/batch=1/rows")  # left by a lost driver
+FEED = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq long"
+
+
+def test_interrupted_batch_is_written_anew(spark, monkeypatch):
+    r = token_counts.Rollup(spark, shared_dir(spark, "roll"))
+    rows = spark.createDataFrame([(1, "t", "upsert", "a", "en", 5, 0)], FEED)
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.Rollup, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost driver")))
+        with pytest.raises(RuntimeError):
+            r.commit(1, rows)
+    assert r.totals().count() == 0
     assert r.commit(1, rows) and r.totals().first()["n_tokens"] == 5
 
 
+def test_two_writers_of_one_state(spark, monkeypatch):
+    """The second writer publishes while the first one is still writing: the first begins again, nothing is lost."""
+    folder = shared_dir(spark, "roll")
+    one, two = (token_counts.Rollup(spark, folder) for _ in range(2))
+    rows = lambda i, n: spark.createDataFrame([(i, "t", "upsert", "a", "en", n, 0)], FEED)
+    write, raced = token_counts.Rollup._write, []
+
+    def racing(self, batch, *rest):
+        out = write(self, batch, *rest)
+        if self is one and not raced:
+            raced.append(two.commit(2, rows(7, 10)))
+        return out
+
+    monkeypatch.setattr(token_counts.Rollup, "_write", racing)
+    assert one.commit(1, rows(7, 3)) and raced == [True]
+    assert [c.batch for c in one.commits()] == [2, 1] and [tuple(r)[-2:] for r in one.totals().collect()] == [(1, 3)]
+
+
+def test_ledger_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT", 2)
+    r, want = token_counts.Rollup(spark, shared_dir(spark, "roll"), buckets=3), {}
+    rng = np.random.default_rng(1)
+    for batch in range(7):
+        rows = [(int(i), "t", "delete" if rng.random() < 0.3 else "upsert", f"s{rng.integers(2)}", "en", int(rng.integers(9)), 0) for i in rng.choice(12, 5, replace=False)]
+        assert r.commit(batch, spark.createDataFrame(rows, FEED))
+        for i, _, op, source, _, n, _ in rows:
+            want.pop(i, None)
+            if op == "upsert":
+                want[i] = (source, n)
+        sums = {s: (sum(v[0] == s for v in want.values()), sum(v[1] for v in want.values() if v[0] == s)) for s in {v[0] for v in want.values()}}
+        assert {x["source"]: (x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == sums
+    done = r.commits()
+    assert max(len(c.runs) for c in done) <= 2 and done[-1].base
+    standing = r._ledger(done[-1], None).groupBy("doc_id", "source", "n_tokens").agg({"sign": "sum"}).filter("`sum(sign)` <> 0").collect()
+    assert {x["doc_id"]: (x["source"], x["n_tokens"]) for x in standing} == want
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    for master, fails in (("local-cluster[3,2,1024]", True), ("yarn", True), ("local[2]", False), ("local", False)):
+        s = N(conf=N(get=lambda *_: None), sparkContext=N(master=master))
+        if fails:
+            with pytest.raises(ValueError):
+                shared_dir(s, "x")
+        else:
+            assert shared_dir(s, "x")
+
+
 def test_token_counters(spark):
     df = spark.createDataFrame([("a b c, d12",), (None,), (" \t\n",)], "text string")
     n = [tuple(r) for r in df.select(token_counts.count_tokens("text", token_counts.WORDS), token_counts.count_tokens("text", token_counts.PIECES)).collect()]
