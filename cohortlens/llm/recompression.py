@@ -23,6 +23,10 @@ LEAST = 4
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _TABLE[32] = 0
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+#: A second table and base: hashes of words that share nothing with the first ones.
+_CHECK = np.random.default_rng(20240301).integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_CHECK[32] = 0
+_CHECK_BASE = np.uint32(0x9E3779B1)
 
 
 def mix(*parts: np.ndarray | int) -> np.ndarray:
@@ -56,6 +60,8 @@ class Words:
     """Hashes of the words of several documents with a separator before, between and after them."""
 
     hashes: np.ndarray
+    #: 32 further bits of each word, independent of ``hashes``.
+    check: np.ndarray
     #: Per document: index of its first word, and its number of words.
     first: np.ndarray
     count: np.ndarray
@@ -69,9 +75,12 @@ def hash_words(texts: list[bytes], counts: list[int]) -> Words:
     length = np.diff(np.concatenate((starts, [len(buf) + 1])))
     place = np.arange(len(buf)) - np.repeat(starts, length)[: len(buf)]
     sums = np.add.reduceat(_TABLE[buf] * powers(_BASES[0], int(length.max()) + 1)[place], starts)
+    # a word's letters by another table and base, modulo 2^32
+    scale = (powers(U(_CHECK_BASE), int(length.max()) + 1) & U(2**32 - 1)).astype(np.uint32)
+    check = np.add.reduceat(_CHECK[buf] * scale[place], starts, dtype=np.uint32)
     count = np.array(counts, np.int64)
     first = np.cumsum(count + 1) - count
-    return Words(mix(sums, length), first, count)
+    return Words(mix(sums, length), check, first, count)
 
 
 @dataclass
@@ -151,10 +160,10 @@ def representatives(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes (64 and 32 bits) of the window at each start; the last window-1 are void."""
+    """Two independent hashes (64 and 32 bits, of words hashed twice) of the window at each start; the last window-1 are void."""
     n = len(w.hashes)
     out = []
-    for base, words in ((_BASES[0], w.hashes), (_BASES[1], mix(w.hashes, 3))):
+    for base, words in ((_BASES[0], w.hashes), (_BASES[1], mix(w.check.astype(U), 3))):
         inverse = U(pow(int(base), -1, 2**64))
         sums = np.concatenate((np.zeros(1, U), np.cumsum(words * powers(base, n))))
         h = np.zeros(n, U)

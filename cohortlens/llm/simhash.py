@@ -195,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, e = state, materialise(star(e), "components")
+        before, e = state, materialise(star(e), "components", instead_of=e)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -210,20 +210,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "_t")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, of which one of each component stays: that of the smallest id, then text hash.
-
-    Rows without an id stand behind all others; of equal rows one stays.
-    """
-    found = near_duplicates(docs, shingle)
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_t"))).alias("best")
-    )
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best._t").alias("_t"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
-
-
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
