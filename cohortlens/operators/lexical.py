@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
@@ -11,8 +11,17 @@ from ..functions.text import word_tokens
 REFERENCE_TOTAL = 1_161_192
 FLOOR = 1e-9
 Z_CRITICAL = 1.96
-#: Function words that calibrate the prior's strength.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "with", "you")
+#: The 27 common words that always calibrate the prior's strength.
+STOPWORDS = (
+    "the", "of", "and", "to", "a", "in", "for", "is", "on", "that", "by", "this", "with", "i", "you", "it", "not", "or", "be", "are", "from", "at", "as", "your", "am", "an", "my",
+)
+#: The search for the strongest constant, and the most frequent reference words that count as register.
+LEAST_CONSTANT, MOST_CONSTANT, STEPS, REGISTER = 0.005, 1.0, 24, 40
+
+
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """df beside sums over all its rows: an aggregation and one broadcast row, where a window would gather all rows in one task."""
+    return df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in totals.items()))))
 
 
 def word_counts(prompts: DataFrame, least: int = 5) -> DataFrame:
@@ -25,7 +34,7 @@ def word_counts(prompts: DataFrame, least: int = 5) -> DataFrame:
 def reference_frequencies(texts: DataFrame) -> DataFrame:
     """(word, freq) of a reference corpus."""
     n = texts.select(F.explode(word_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("word", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("freq"))
+    return with_totals(n, _n=F.sum("n")).select("word", (F.col("n") / F.col("_n")).alias("freq"))
 
 
 def mixed_prior(counts: DataFrame, reference: DataFrame, w: float) -> DataFrame:
@@ -36,9 +45,7 @@ def mixed_prior(counts: DataFrame, reference: DataFrame, w: float) -> DataFrame:
 
 def log_odds(df: DataFrame, alpha_t: Column, alpha_b: Column) -> DataFrame:
     """Adds delta and z. Totals run over the whole vocabulary."""
-    all_ = Window.partitionBy()
-    rows = df.withColumns({"_at": alpha_t, "_ab": alpha_b})
-    rows = rows.withColumns({"_nt": F.sum("y_t").over(all_), "_nb": F.sum("y_b").over(all_), "_sum_t": F.sum("_at").over(all_), "_sum_b": F.sum("_ab").over(all_)})
+    rows = with_totals(df.withColumns({"_at": alpha_t, "_ab": alpha_b}), _nt=F.sum("y_t"), _nb=F.sum("y_b"), _sum_t=F.sum("_at"), _sum_b=F.sum("_ab"))
     side = lambda y, a, n, s: F.log((F.col(y) + F.col(a)) / (F.col(n) + F.col(s) - F.col(y) - F.col(a)))
     delta = side("y_t", "_at", "_nt", "_sum_t") - side("y_b", "_ab", "_nb", "_sum_b")
     rows = rows.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y_t") + F.col("_at")) + 1 / (F.col("y_b") + F.col("_ab"))))
@@ -46,10 +53,10 @@ def log_odds(df: DataFrame, alpha_t: Column, alpha_b: Column) -> DataFrame:
 
 
 def fixed_prior(df: DataFrame, strength: float, w: float, reference: DataFrame) -> DataFrame:
-    """alpha = strength (w p_reference + (1 - w) p_corpus), alike on both sides."""
-    p = (F.col("y_t") + F.col("y_b")) / F.sum(F.col("y_t") + F.col("y_b")).over(Window.partitionBy())
-    rows = df.join(reference, "word", "left").withColumn("alpha", strength * (w * F.greatest(F.coalesce("freq", F.lit(0.0)), F.lit(FLOOR)) + (1 - w) * p))
-    return rows.drop("freq")
+    """alpha = strength (w p_reference + (1 - w) p_corpus), alike on both sides; both are shares over the vocabulary."""
+    rows = df.join(reference, "word", "left").withColumn("freq", F.greatest(F.coalesce("freq", F.lit(0.0)), F.lit(FLOOR)))
+    rows = with_totals(rows, _n=F.sum(F.col("y_t") + F.col("y_b")), _f=F.sum("freq"))
+    return rows.withColumn("alpha", strength * (w * F.col("freq") / F.col("_f") + (1 - w) * (F.col("y_t") + F.col("y_b")) / F.col("_n"))).drop("freq", "_n", "_f")
 
 
 def calibration_words(df: DataFrame, k: int = 20) -> DataFrame:
@@ -59,11 +66,11 @@ def calibration_words(df: DataFrame, k: int = 20) -> DataFrame:
 
 
 def side_ratios(df: DataFrame, c: float) -> DataFrame:
-    """Per side r = c * prior weight / side weight over the calibration words; alpha is prior / r."""
-    chosen = df.join(F.broadcast(calibration_words(df)), "word", "left_semi")  # at most k + 27 words
-    s = lambda col: F.greatest(F.sum(col), F.lit(1.0))
-    share = lambda col: F.greatest(s(col), F.lit(FLOOR))
-    return chosen.agg((c * share("prior") / share("y_t")).alias("r_t"), (c * share("prior") / share("y_b")).alias("r_b"))
+    """Per side r = c * prior weight / side weight over the calibration words, or the whole vocabulary if it has none; alpha is prior / r."""
+    chosen = df.join(F.broadcast(calibration_words(df).withColumn("_in", F.lit(True))), "word", "left")  # at most k + 27 words
+    s = lambda col: F.coalesce(F.sum(F.when(F.col("_in"), F.col(col))), F.sum(col))
+    weight = F.greatest(s("prior"), F.lit(FLOOR))
+    return chosen.agg((c * weight / F.greatest(s("y_t"), F.lit(1.0))).alias("r_t"), (c * weight / F.greatest(s("y_b"), F.lit(1.0))).alias("r_b"))
 
 
 def marked_words(df: DataFrame, c: float) -> DataFrame:
@@ -72,28 +79,46 @@ def marked_words(df: DataFrame, c: float) -> DataFrame:
     return log_odds(df, F.col("prior") / r["r_t"], F.col("prior") / r["r_b"])
 
 
-def strongest_clean_constant(df: DataFrame, register: DataFrame, low: float = 0.005, high: float = 1.0, steps: int = 24) -> float:
-    """By bisection the largest c at which no register word is marked; low if none is clean, high if all are.
+def _with_unit(df: DataFrame) -> DataFrame:
+    """df beside the totals and the side ratios at a constant of one: a row of five numbers."""
+    totals = df.agg(F.sum("y_t").alias("_n_t"), F.sum("y_b").alias("_n_b"), F.sum("prior").alias("_total"))
+    return df.crossJoin(F.broadcast(totals.crossJoin(side_ratios(df, 1.0))))
+
+
+def _z_at(c: Column) -> Column:
+    """The z of a word of ``_with_unit`` at a constant."""
+    part = lambda s: F.col("prior") / (c * F.col(f"r_{s}"))
+    odds = lambda s: F.log((F.col(f"y_{s}") + part(s)) / (F.col(f"_n_{s}") + F.col("_total") / (c * F.col(f"r_{s}")) - F.col(f"y_{s}") - part(s)))
+    return (odds("t") - odds("b")) / F.sqrt(1 / (F.col("y_t") + part("t")) + 1 / (F.col("y_b") + part("b")))
+
+
+def constant_sweep(df: DataFrame, constants: list[float]) -> DataFrame:
+    """(c, word, z) of every word at every constant: one pass, the constants a bounded list."""
+    return _with_unit(df).withColumn("c", F.explode(F.array(*(F.lit(float(c)) for c in constants)))).select("c", "word", _z_at(F.col("c")).alias("z"))
 
-    Only the register words and the totals leave the cluster, a row each.
+
+def register_words(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """Words of the vocabulary that are register: stop words, contractions, and the most frequent ones of the reference."""
+    rows = df.select("word").join(reference, "word", "left").withColumn("freq", F.greatest(F.coalesce("freq", F.lit(0.0)), F.lit(FLOOR)))
+    top = rows.orderBy(F.desc("freq"), "word").limit(REGISTER).select("word")
+    fixed = rows.filter(F.col("word").isin(*STOPWORDS) | F.contains("word", F.lit("'"))).select("word")
+    return fixed.union(top).distinct()
+
+
+def strongest_clean_constant(df: DataFrame, register: DataFrame, low: float = LEAST_CONSTANT, high: float = MOST_CONSTANT, steps: int = STEPS) -> DataFrame:
+    """(c): by bisection the largest at which no register word is marked; low if none is clean, high if all are.
+
+    |z| falls with c, so every register word is bisected on its own, over the same
+    midpoints, and the least of their constants is that of all of them: one aggregation.
     """
-    import numpy as np
-
-    rows = df.join(F.broadcast(register), "word", "left_semi").select("y_t", "y_b", "prior").toPandas().to_numpy(float)
-    n_t, n_b, total = df.agg(F.sum("y_t"), F.sum("y_b"), F.sum("prior")).first()
-    r = side_ratios(df, 1.0).first()
-
-    def clean(c: float) -> bool:
-        a_t, a_b = rows[:, 2] / (c * r["r_t"]), rows[:, 2] / (c * r["r_b"])
-        odds = lambda y, a, n, s: np.log((y + a) / (n + s - y - a))
-        d = odds(rows[:, 0], a_t, n_t, total / (c * r["r_t"])) - odds(rows[:, 1], a_b, n_b, total / (c * r["r_b"]))
-        return not len(rows) or np.abs(d / np.sqrt(1 / (rows[:, 0] + a_t) + 1 / (rows[:, 1] + a_b))).max() < Z_CRITICAL
-
-    if not clean(low):
-        return low
-    if clean(high):
-        return high
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if clean(mid) else (low, mid)
-    return low
+    rows = _with_unit(df).join(register, "word", "left_semi")
+    clean = lambda c: F.abs(_z_at(c)) < Z_CRITICAL
+    span = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = (at["low"] + at["high"]) / 2
+        return F.struct(F.when(clean(mid), mid).otherwise(at["low"]).alias("low"), F.when(clean(mid), at["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), span, halve)["low"]
+    own = F.when(~clean(F.lit(low)), F.lit(low)).when(clean(F.lit(high)), F.lit(high)).otherwise(found)
+    return rows.agg(F.coalesce(F.min(own), F.lit(high)).alias("c"))

@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (model prefix, US dollars per million input tokens, per million output tokens); the first that fits holds.
-PRICES = (("gpt-4o-mini", 0.15, 0.60), ("gpt-4o", 2.5, 10.0), ("claude-haiku", 0.8, 4.0), ("claude", 3.0, 15.0))
+#: Fixed values: (model prefix, US dollars per million input tokens, per million output tokens); the first that fits holds.
+PRICES = (
+    ("mock:", 0.0, 0.0),
+    ("claude-opus", 15.0, 75.0),
+    ("claude-sonnet", 3.0, 15.0),
+    ("claude-haiku", 1.0, 5.0),
+    ("claude-3-5-haiku", 0.8, 4.0),
+    ("gpt-5-nano", 0.05, 0.4),
+    ("gpt-5-mini", 0.25, 2.0),
+    ("gpt-5", 1.25, 10.0),
+    ("gpt-4o-mini", 0.15, 0.6),
+    ("gpt-4o", 2.5, 10.0),
+    ("gpt-4.1-mini", 0.4, 1.6),
+    ("gpt-4.1", 2.0, 8.0),
+    ("o3", 2.0, 8.0),
+    ("o4-mini", 1.1, 4.4),
+    ("gemini-3.5-flash", 0.3, 2.5),
+    ("gemini-3.1-flash-lite", 0.1, 0.4),
+    ("gemini-3-flash", 0.3, 2.5),
+    ("gemini-2.5-flash-lite", 0.1, 0.4),
+    ("gemini-2.5-flash", 0.3, 2.5),
+    ("gemini-2.5-pro", 1.25, 10.0),
+    ("gemini-2.0-flash", 0.1, 0.4),
+)
+#: Prefixes of a model's name that say who serves it; prices are by what follows.
+PROVIDERS = ("anthropic", "openai", "google")
 UNRECORDED = ("", "0")
 
 
@@ -181,7 +205,9 @@ def trace_rollup(trace: DataFrame) -> DataFrame:
 
 def with_cost(usage: DataFrame) -> DataFrame:
     """Adds cost_usd by the first price whose prefix fits the model; zero for an unknown one."""
-    fits = lambda i: F.coalesce(*(F.when(F.startswith(F.col("model"), F.lit(p[0])), F.lit(p[i])) for p in PRICES), F.lit(0.0))
+    served = F.split_part("model", F.lit(":"), F.lit(1)).isin(*PROVIDERS)
+    bare = F.when(served, F.regexp_replace("model", "^[^:]*:", "")).otherwise(F.col("model"))
+    fits = lambda i: F.coalesce(*(F.when(F.startswith(bare, F.lit(p[0])), F.lit(p[i])) for p in PRICES), F.lit(0.0))
     return usage.withColumn("cost_usd", (F.col("input_tokens") * fits(1) + F.col("output_tokens") * fits(2)) / 1e6)
 
 

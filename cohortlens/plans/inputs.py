@@ -62,7 +62,7 @@ def hybrid_prior(s: SparkSession, d: str) -> DataFrame:
     return prior(s, d).select("word", F.round("prior", 6).alias("prior"))
 
 
-@query(COUNTS + "," + REF + ", fx AS (SELECT word, y_t, y_b, 500 * (0.3 * greatest(coalesce(freq, 0), 1e-9) + 0.7 * (y_t + y_b) / sum(y_t + y_b) OVER ()) AS alpha FROM wc LEFT JOIN ref USING (word))," + _z("fx", "alpha", "alpha") + " SELECT word, round(delta, 6) AS delta, round(delta / se, 6) AS z FROM zz")
+@query(COUNTS + "," + REF + ", fr AS (SELECT word, y_t, y_b, greatest(coalesce(freq, 0), 1e-9) AS f FROM wc LEFT JOIN ref USING (word)), fx AS (SELECT word, y_t, y_b, 500 * (0.3 * f / sum(f) OVER () + 0.7 * (y_t + y_b) / sum(y_t + y_b) OVER ()) AS alpha FROM fr)," + _z("fx", "alpha", "alpha") + " SELECT word, round(delta, 6) AS delta, round(delta / se, 6) AS z FROM zz")
 def fixed_prior(s: SparkSession, d: str) -> DataFrame:
     rows = L.fixed_prior(counts(s, d), 500.0, 0.3, L.reference_frequencies(V.table(s, d, "benchmark")))
     return L.log_odds(rows, F.col("alpha"), F.col("alpha")).select("word", F.round("delta", 6).alias("delta"), F.round("z", 6).alias("z"))
@@ -111,21 +111,36 @@ def word_fdr(s: SparkSession, d: str) -> DataFrame:
     return S.benjamini_hochberg(rows, tie="word").filter("significant").select("word", F.round("z", 6).alias("z"), "q_value")
 
 
-@query(CAL + "".join(f""", c{i} AS (SELECT {c} AS c, word, y_t, y_b, prior / ({c} * r_t) AS a_t, prior / ({c} * r_b) AS a_b, sum(y_t) OVER () AS n_t, sum(y_b) OVER () AS n_b, sum(prior / ({c} * r_t)) OVER () AS s_t, sum(prior / ({c} * r_b)) OVER () AS s_b FROM cc)""" for i, c in enumerate((0.005, 0.05, 0.5)))
-  + ", al AS (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(3)) + ") SELECT CAST(c AS DOUBLE) AS c, count(*) FILTER (abs((ln((y_t + a_t) / (n_t + s_t - y_t - a_t)) - ln((y_b + a_b) / (n_b + s_b - y_b - a_b))) / sqrt(1 / (y_t + a_t) + 1 / (y_b + a_b))) >= 1.96) AS n_raw FROM al GROUP BY c")
+#: 24 constants in equal ratios over the range of the search.
+CONSTANTS = [round(L.LEAST_CONSTANT * (L.MOST_CONSTANT / L.LEAST_CONSTANT) ** (i / 23), 9) for i in range(24)]
+SWEEP = CAL + f""",
+al AS (SELECT CAST(c AS DOUBLE) AS c, word, y_t, y_b, prior / (c * r_t) AS a_t, prior / (c * r_b) AS a_b FROM cc, (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in CONSTANTS)}]) AS c)),
+sm AS (SELECT c, sum(y_t) AS n_t, sum(y_b) AS n_b, sum(a_t) AS s_t, sum(a_b) AS s_b FROM al GROUP BY c),
+az AS (SELECT c, word, (ln((y_t + a_t) / (n_t + s_t - y_t - a_t)) - ln((y_b + a_b) / (n_b + s_b - y_b - a_b))) / sqrt(1 / (y_t + a_t) + 1 / (y_b + a_b)) AS z FROM al JOIN sm USING (c))"""
+
+
+@query(SWEEP + " SELECT c, count(*) FILTER (abs(z) >= 1.96) AS n_raw FROM az GROUP BY c")
 def constant_sweep(s: SparkSession, d: str) -> DataFrame:
-    base, out = prior(s, d), None
-    for c in (0.005, 0.05, 0.5):
-        one = L.marked_words(base, c).agg(F.lit(c).alias("c"), F.count_if(F.abs("z") >= L.Z_CRITICAL).alias("n_raw"))
-        out = one if out is None else out.union(one)
-    return out
+    return L.constant_sweep(prior(s, d), CONSTANTS).groupBy("c").agg(F.count_if(F.abs("z") >= L.Z_CRITICAL).alias("n_raw"))
+
+
+@query()
+def constant_sweep_fdr(s: SparkSession, d: str) -> DataFrame:
+    """The sweep by the other rule: words that stay significant under false-discovery control at each constant."""
+    rows = L.constant_sweep(prior(s, d), CONSTANTS).withColumn("p_value", S.two_sided_normal_p(F.col("z")))
+    return S.benjamini_hochberg(rows, by=["c"], tie="word").groupBy("c").agg(F.count_if("significant").alias("n_fdr"))
+
+
+@query(CAL + f""",
+rg AS (SELECT word FROM pr WHERE word IN ({_STOP}) OR contains(word, chr(39)) UNION SELECT word FROM (SELECT word FROM pr LEFT JOIN ref USING (word) ORDER BY greatest(coalesce(freq, 0), 1e-9) DESC, word LIMIT 40)) SELECT word FROM rg""")
+def register_words(s: SparkSession, d: str) -> DataFrame:
+    return L.register_words(prior(s, d), L.reference_frequencies(V.table(s, d, "benchmark")))
 
 
 @query()
 def auto_constant(s: SparkSession, d: str) -> DataFrame:
     base = prior(s, d)
-    register = base.filter(F.col("word").isin(*L.STOPWORDS) | F.contains("word", F.lit("'"))).select("word")
-    return s.createDataFrame([(float(L.strongest_clean_constant(base, register)),)], "c double")
+    return L.strongest_clean_constant(base, L.register_words(base, L.reference_frequencies(V.table(s, d, "benchmark"))))
 
 
 @query(V.PROMPTS + """, f AS (SELECT cohort, i AS feature, contains(coalesce(text, ''), m) AS has FROM prompts, (VALUES (1, '|'), (2, '!!'), (3, '$$'), (4, '. '), (5, 'zzzzzz')) AS x(i, m)),
@@ -274,12 +289,13 @@ def normalize_axis_id(s: SparkSession, d: str) -> DataFrame:
 
 
 _STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{x}') AND length(w) - {len(x)} >= 4 THEN substr(w, 1, length(w) - {len(x)})" for x in T.SUFFIXES) + " ELSE w END"
+_QSTOP = ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)
+STEMS = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: w NOT IN ({_QSTOP})), lambda w: {_STEM}))"
 
 
-@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: {_STEM}))), ' ') AS stems FROM benchmark")
+@query(f"SELECT item_id, array_to_string(list_sort({STEMS}), ' ') AS stems FROM benchmark")
 def question_key(s: SparkSession, d: str) -> DataFrame:
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return V.table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.transform(w, T.stem))), " ").alias("stems"))
+    return V.table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(T.question_tokens(F.col("text"))), " ").alias("stems"))
 
 
 _WS = r"[ \t\n\x0B\f\r]+"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import relational as R
 from ..sources import views as V
+from .inputs import STEMS
 
 QUERIES, ORACLE = {}, {}
 
@@ -182,9 +184,9 @@ def fk_violations(s: SparkSession, d: str) -> DataFrame:
     return R.foreign_keys(checks)
 
 
-@query("a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM a x JOIN a y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6")
+@query(f"a AS (SELECT item_id, {STEMS} AS w FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM a x JOIN a y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6")
 def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
-    rows = V.table(s, d, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    rows = V.table(s, d, "benchmark").select("item_id", T.question_tokens(F.col("text")).alias("w"))
     return R.jaccard_pairs(rows, "item_id", "w", 0.6)
 
 
@@ -279,7 +281,7 @@ def cost_estimate(s: SparkSession, d: str) -> DataFrame:
 _PRICES = ", ".join(f"({i}, '{p}', {a}, {b})" for i, (p, a, b) in enumerate(R.PRICES))
 
 
-@query(V.TRACE + f""", price AS (SELECT * FROM (VALUES {_PRICES}) AS p(pos, prefix, pin, pout)), m AS (SELECT model, arg_min(pin, pos) AS pin, arg_min(pout, pos) AS pout FROM (SELECT DISTINCT model FROM trace) t JOIN price ON starts_with(model, prefix) GROUP BY model)
+@query(V.TRACE + f""", price AS (SELECT * FROM (VALUES {_PRICES}) AS p(pos, prefix, pin, pout)), m AS (SELECT model, arg_min(pin, pos) AS pin, arg_min(pout, pos) AS pout FROM (SELECT DISTINCT model, CASE WHEN split_part(model, ':', 1) IN ('anthropic', 'openai', 'google') THEN regexp_replace(model, '^[^:]*:', '') ELSE model END AS bare FROM trace) t JOIN price ON starts_with(bare, prefix) GROUP BY model)
 SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round((sum(input_tokens) * coalesce(any_value(pin), 0) + sum(output_tokens) * coalesce(any_value(pout), 0)) / 1e6, 6) AS cost_usd FROM trace LEFT JOIN m USING (model) GROUP BY model""")
 def cost_usd(s: SparkSession, d: str) -> DataFrame:
     t = V.trace(s, d).groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

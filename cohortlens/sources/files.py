@@ -32,8 +32,9 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record a line; blank and damaged lines are left out, never fatal."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt IS NULL").drop("_corrupt")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r"))
+    return rows.filter("r IS NOT NULL AND r._corrupt IS NULL").select("r.*").drop("_corrupt")
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
