@@ -1,12 +1,12 @@
 """Tests over tidy verdict and count tables.
 
-Shuffles of labels are orders by md5, never rand(): the same on any cluster, and
+Shuffles of labels are orders by hash, never rand(): the same on any cluster, and
 in any other engine that has md5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import information as I
+from .permutation import permuted_sums
 
 TOLERANCE = 1e-12
 
@@ -39,59 +40,65 @@ def axis_rates(matrix: DataFrame) -> DataFrame:
     )
 
 
-def shuffled_labels(clusters: DataFrame, permutations: int, seed: int, cluster: str = "prompt_id") -> DataFrame:
-    """(perm, cluster, is_target): as many clusters are target as before, in the order of md5(seed:perm:cluster)."""
-    spark = clusters.sparkSession
-    n_target = clusters.filter("community = 'target'").count()
-    perms = spark.range(permutations).withColumnRenamed("id", "perm")
-    rows = clusters.select(cluster).crossJoin(F.broadcast(perms))  # a row of labels for each permutation is the definition
-    order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "perm", cluster)), cluster)
-    return rows.withColumn("is_target", F.row_number().over(order) <= n_target)
+@dataclass
+class Draws:
+    """Per axis the real rate gap and, a row a permutation, those of shuffled labels; NaN where a side has no verdict."""
 
+    axes: list[str]
+    real: np.ndarray
+    draws: np.ndarray
 
-def permutation_p_values(matrix: DataFrame, permutations: int, seed: int = 0, cluster: str = "prompt_id") -> DataFrame:
-    """Per axis delta and p = (1 + draws at least as far from zero) / (P + 1). Draws without a gap count; so does p = 1 for an axis without one."""
-    observed = axis_rates(matrix).select("axis_id", "delta")
-    clusters = matrix.select(cluster, "community").distinct()
-    labels = shuffled_labels(clusters, permutations, seed, cluster)
-    side = lambda c, t: F.sum(F.when(F.col("is_target") == t, F.col(c)))
-    draws = matrix.drop("community").join(labels, cluster).groupBy("perm", "axis_id").agg((side("yes", True) / side("n", True) - side("yes", False) / side("n", False)).alias("draw"))
-    far = F.coalesce(F.abs("draw") >= F.abs("delta") - TOLERANCE, F.lit(True))
-    out = draws.join(F.broadcast(observed), "axis_id").groupBy("axis_id").agg(F.first("delta").alias("delta"), F.count_if(far).alias("exceed"))
-    return out.select("axis_id", "delta", "exceed", F.when(F.col("delta").isNull(), 1.0).otherwise((1 + F.col("exceed")) / (permutations + 1)).alias("p_value"))
-
-
-def permutation_p_values_arrow(matrix: DataFrame, permutations: int, seed: int = 0, cluster: str = "prompt_id") -> DataFrame:
-    """The same test for many permutations: the cluster matrix is broadcast (its size is checked) and each task draws some of them."""
-    rows = matrix.groupBy(cluster, "community").pivot("axis_id").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
-    if rows.count() > 2_000_000:
-        return permutation_p_values(matrix, permutations, seed, cluster)
-    pdf = rows.toPandas().fillna(0)
-    axes = sorted({c.rsplit("_", 1)[0] for c in pdf.columns if c.endswith("_yes")})
-    yes, n = (pdf[[f"{a}_{k}" for a in axes]].to_numpy(float) for k in ("yes", "n"))
-    target = (pdf["community"] == "target").to_numpy()
+
+def permuted_gaps(matrix: DataFrame, permutations: int, seed: int = 0, cluster: str = "prompt_id") -> Draws:
+    """Whole clusters change sides, as many as before. A bounded set of axes becomes columns; see permutation.py."""
+    axes = sorted(r["axis_id"] for r in matrix.select("axis_id").distinct().collect())
+    each = [F.coalesce(F.sum(F.when(F.col("axis_id") == a, F.col(c))), F.lit(0)) for c in ("yes", "n") for a in axes]
+    units = matrix.groupBy(cluster, "community").agg(F.array(*each).alias("v") if axes else F.array().alias("v"))
+    sums = permuted_sums(units, cluster, F.col("community") == "target", F.col("v"), 2 * len(axes), permutations, seed)
+    k = len(axes)
 
     def gap(t: np.ndarray) -> np.ndarray:
+        rest = sums.total - t
         with np.errstate(invalid="ignore", divide="ignore"):
-            return yes[t].sum(0) / n[t].sum(0) - yes[~t].sum(0) / n[~t].sum(0)
+            return t[..., :k] / t[..., k:] - rest[..., :k] / rest[..., k:]
+
+    return Draws(axes, gap(sums.real), gap(sums.target))
+
+
+def permutation_p_values(matrix: DataFrame, permutations: int, seed: int = 0, cluster: str = "prompt_id") -> DataFrame:
+    """Per axis delta and p = (1 + draws at least as far from zero) / (P + 1). Draws without a gap count; so does p = 1 for an axis without one."""
+    g = permuted_gaps(matrix, permutations, seed, cluster)
+    far = ~(np.abs(g.draws) < np.abs(g.real) - TOLERANCE)
+    rows = [(a, None if np.isnan(d) else float(d), int(n), 1.0 if np.isnan(d) else (1 + int(n)) / (permutations + 1)) for a, d, n in zip(g.axes, g.real, far.sum(0))]
+    return matrix.sparkSession.createDataFrame(rows, "axis_id string, delta double, exceed long, p_value double")
+
 
-    real = gap(target)
-    spark = matrix.sparkSession
-    data = spark.sparkContext.broadcast((yes, n, target))
+def permutation_draws(matrix: DataFrame, permutations: int, seed: int = 0, cluster: str = "prompt_id") -> DataFrame:
+    """(axis_id, perm, draw): the gaps under shuffled labels, those that are defined."""
+    g = permuted_gaps(matrix, permutations, seed, cluster)
+    rows = [(a, p, float(d)) for i, a in enumerate(g.axes) for p, d in enumerate(g.draws[:, i]) if not np.isnan(d)]
+    return matrix.sparkSession.createDataFrame(rows, "axis_id string, perm long, draw double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, m, t = data.value
-        for b in batches:
-            far = np.zeros(len(real), np.int64)
-            for perm in b["id"]:
-                label = np.random.Generator(np.random.Philox(key=[seed, int(perm)])).permutation(t)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = y[label].sum(0) / m[label].sum(0) - y[~label].sum(0) / m[~label].sum(0)
-                far += ~(np.abs(d) < np.abs(real) - TOLERANCE)
-            yield pd.DataFrame({"axis_id": axes, "exceed": far})
 
-    counts = spark.range(permutations).mapInPandas(run, "axis_id string, exceed long").groupBy("axis_id").agg(F.sum("exceed").alias("exceed"))
-    return counts.join(axis_rates(matrix).select("axis_id", "delta"), "axis_id").select("axis_id", "delta", "exceed", F.when(F.col("delta").isNull(), 1.0).otherwise((1 + F.col("exceed")) / (permutations + 1)).alias("p_value"))
+def permutation_jsd(units: DataFrame, unit: str, categories: list, permutations: int, seed: int = 0) -> tuple[float | None, float]:
+    """Jensen-Shannon divergence in bits between both sides' category counts and its permutation p.
+
+    units: one row a unit and category (unit, community, category, n); whole units change sides.
+    """
+    each = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)) for c in categories]
+    rows = units.groupBy(unit, "community").agg(F.array(*each).alias("v"))
+    sums = permuted_sums(rows, unit, F.col("community") == "target", F.col("v"), len(categories), permutations, seed)
+
+    def jsd(t: np.ndarray) -> np.ndarray:
+        rest = sums.total - t
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p, q = t / t.sum(-1, keepdims=True), rest / rest.sum(-1, keepdims=True)
+            m = (p + q) / 2
+            term = lambda x: np.where(x > 0, x * np.log2(x / m), 0.0)
+            return (term(p) + term(q)).sum(-1) / 2
+
+    real = float(jsd(sums.real))
+    return real, (1 + int((jsd(sums.target) >= real - TOLERANCE).sum())) / (permutations + 1)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by: list[str] | None = None, tie: str = "axis_id") -> DataFrame:
@@ -113,20 +120,68 @@ def profile_divergence(rates: DataFrame, eps: float = 0.01) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_axes"), F.when(F.count(F.lit(1)) >= 2, F.sum(I.kl_term(F.col("p"), F.col("q")))).alias("d_pi"))
 
 
+def _fisher_p(a: int, b: int, c: int, d: int) -> float:
+    """By ratios of neighbouring tables outward from the likeliest one, as far as they count."""
+    row, col, n = a + b, a + c, a + b + c + d
+    low, high = max(0, row + col - n), min(row, col)
+    mode = min(high, max(low, (row + 1) * (col + 1) // (n + 2)))
+    reach = int(40 * (row * col / max(1, n) * (n - row) / max(1, n) * (n - col) / max(1, n - 1)) ** 0.5) + 60
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=float)
+    if not k[0] <= a <= k[-1]:
+        return 0.0  # beyond 40 standard deviations
+    ratio = np.log((row - k[:-1]) * (col - k[:-1])) - np.log((k[:-1] + 1) * (n - row - col + k[:-1] + 1))
+    logs = np.concatenate(([0.0], np.cumsum(ratio)))
+    weight = np.exp(logs - logs.max())
+    return float(min(1.0, weight[logs <= logs[int(a - k[0])] + 1e-7].sum() / weight.sum()))
+
+
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """Adds p_value of the two-sided exact test on [[a, b], [c, d]]: tables no likelier than the one seen."""
-    from math import lgamma
 
-    rows = df.collect()  # one row a 2 x 2 table: a handful
-    out = []
-    for r in rows:
-        x, row, col, n = r[a], r[a] + r[b], r[a] + r[c], r[a] + r[b] + r[c] + r[d]
-        choose = lambda m, k: lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1)
-        k = range(max(0, row + col - n), min(row, col) + 1)
-        logs = np.array([choose(col, i) + choose(n - col, row - i) - choose(n, row) for i in k])
-        seen = logs[x - k[0]]
-        out.append((*r, float(min(1.0, np.exp(logs[logs <= seen + 1e-7]).sum()))))
-    return df.sparkSession.createDataFrame(out, df.schema.add("p_value", "double"))
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_fisher_p(*map(int, x)) for x in zip(a, b, c, d)], dtype="float64")
+
+    return df.withColumn("p_value", p(a, b, c, d))
+
+
+def _gamma_q(s: float, x: float) -> float:
+    """The upper incomplete gamma function over gamma(s): a series below s + 1, else a continued fraction."""
+    from math import exp, lgamma, log
+
+    if x <= 0:
+        return 1.0
+    front = exp(s * log(x) - x - lgamma(s))
+    if x < s + 1:
+        term = total = 1 / s
+        i = s
+        while term > total * 1e-16:
+            i += 1
+            term *= x / i
+            total += term
+        return 1 - front * total
+    b = x + 1 - s
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 100_000):
+        an = -i * (i - s)
+        b += 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def chi_square_p(chi2: Column, dof: Column) -> Column:
+    """P of a chi-square at least so large, by Arrow batches; 1 without degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else 1.0 if n < 1 else _gamma_q(n / 2, v / 2) for v, n in zip(x, k)], dtype="float64")
+
+    return p(chi2.cast("double"), dof.cast("long"))
 
 
 def two_sided_normal_p(z: Column) -> Column:
@@ -216,4 +271,16 @@ def chi_square_table(counts: DataFrame, key: str, t: str, b: str) -> DataFrame:
     cell = lambda o, r: F.pow(F.abs(o - r * col / n) - F.when(F.col("_k") == 2, F.least(F.lit(0.5), F.abs(o - r * col / n))).otherwise(0.0), 2) / F.nullif(r * col / n, F.lit(0.0))
     part = F.when((F.col("_t") > 0) & (F.col("_b") > 0), cell(F.col(t), F.col("_t")) + cell(F.col(b), F.col("_b"))).otherwise(0.0)
     tv = F.abs(F.col(t) / F.greatest(F.col("_t"), F.lit(1)) - F.col(b) / F.greatest(F.col("_b"), F.lit(1))) / 2
-    return rows.agg(F.sum(part).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.sum(tv).alias("tv_distance"))
+    out = rows.agg(F.sum(part).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.sum(tv).alias("tv_distance"))
+    return out.withColumn("p_value", chi_square_p(F.col("chi2"), F.col("dof")))
+
+
+def judge_panel(verdicts: DataFrame, judges: list[str], by: list[str]) -> DataFrame:
+    """One row an answer with a column a judge; of a judge's repeated verdicts yes counts. One exchange, summed within tasks first."""
+    return verdicts.filter("verdict IS NOT NULL").groupBy(*by).agg(*(F.max(F.when(F.col("judge") == j, F.col("verdict"))).alias(j) for j in judges))
+
+
+def judge_pairs(panel: DataFrame, judges: list[str], by: list[str]) -> DataFrame:
+    """(by, judge_a, judge_b, a, b): the verdicts of any two judges on one answer, where both have one."""
+    pairs = [F.struct(F.lit(a).alias("judge_a"), F.lit(b).alias("judge_b"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(judges) for b in judges[i + 1 :]]
+    return panel.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*").filter("a IS NOT NULL AND b IS NOT NULL")

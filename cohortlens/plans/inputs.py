@@ -13,10 +13,11 @@ from ..operators import lexical as L
 from ..operators import relational as R
 from ..operators import sampling as P
 from ..operators import statistics as S
+from ..operators.permutation import sql_labels
 from ..sources import views as V
 
 QUERIES, ORACLE = {}, {}
-DRAWS, SEED = 40, 23
+DRAWS, SEED = 1000, 23
 
 
 def query(sql: str | None = None):
@@ -161,8 +162,9 @@ def feature_log_odds(s: SparkSession, d: str) -> DataFrame:
 
 AUTHOR_TOPICS = V.PROMPTS + f""",
 ac AS (SELECT author_id, cohort, topic_id, count(*) AS n FROM prompts GROUP BY ALL), au AS (SELECT DISTINCT author_id, cohort FROM prompts),
-lb AS (SELECT perm, author_id, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws(':', '{SEED}', perm, author_id)), author_id) <= (SELECT count(*) FROM au WHERE cohort = 'target') AS is_target FROM au CROSS JOIN range({DRAWS}) AS r(perm)
-  UNION ALL SELECT -1, author_id, cohort = 'target' FROM au),
+an AS (SELECT author_id, cohort = 'target' AS is_target FROM au),
+{sql_labels("an", "author_id", SEED, DRAWS)},
+lb AS (SELECT perm, author_id, drawn AS is_target FROM labels UNION ALL SELECT -1, author_id, is_target FROM an),
 ct AS (SELECT perm, topic_id, CAST(sum(n) FILTER (is_target) AS DOUBLE) AS t, CAST(sum(n) FILTER (NOT is_target) AS DOUBLE) AS b FROM ac JOIN lb USING (author_id) GROUP BY ALL),
 sh AS (SELECT perm, coalesce(t, 0) / sum(t) OVER (PARTITION BY perm) AS p, coalesce(b, 0) / sum(b) OVER (PARTITION BY perm) AS q FROM ct),
 js AS (SELECT perm, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS jsd FROM sh GROUP BY perm)"""
@@ -171,17 +173,10 @@ js AS (SELECT perm, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 E
 @query(AUTHOR_TOPICS + f" SELECT round(o.jsd, 6) AS jsd, (1 + count(*) FILTER (j.jsd >= o.jsd - 1e-12)) / (1 + {DRAWS}) AS p_value FROM js j, (SELECT jsd FROM js WHERE perm = -1) o WHERE perm >= 0 GROUP BY o.jsd")
 def jsd_perm(s: SparkSession, d: str) -> DataFrame:
     p = V.prompts(s, d)
-    n = p.groupBy("author_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
-    who = p.select("author_id", F.col("cohort").alias("community")).distinct()
-    real = who.select("author_id", F.lit(-1).cast("long").alias("perm"), (F.col("community") == "target").alias("is_target"))
-    labels = S.shuffled_labels(who, DRAWS, SEED, "author_id").select("author_id", "perm", "is_target").union(real)
-    side = lambda t: F.coalesce(F.sum(F.when(F.col("is_target") == t, F.col("n"))), F.lit(0))
-    c = n.join(labels, "author_id").groupBy("perm", "topic_id").agg(side(True).alias("t"), side(False).alias("b"))
-    w = Window.partitionBy("perm")
-    j = c.select("perm", (F.col("t") / F.sum("t").over(w)).alias("p"), (F.col("b") / F.sum("b").over(w)).alias("q")).groupBy("perm").agg(F.sum(I.jsd_term(F.col("p"), F.col("q"))).alias("jsd"))
-    o = j.filter("perm = -1").select(F.col("jsd").alias("o"))
-    rows = j.filter("perm >= 0").join(F.broadcast(o))  # one row
-    return rows.groupBy("o").agg(F.count_if(F.col("jsd") >= F.col("o") - 1e-12).alias("k")).select(F.round("o", 6).alias("jsd"), ((1 + F.col("k")) / (1 + DRAWS)).alias("p_value"))
+    n = p.groupBy("author_id", F.col("cohort").alias("community"), F.col("topic_id").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    topics = sorted(r["category"] for r in n.select("category").distinct().collect())  # a handful
+    real, p_value = S.permutation_jsd(n, "author_id", topics, DRAWS, SEED)
+    return s.createDataFrame([(round(real, 6), p_value)], "jsd double, p_value double")
 
 
 @query(V.PROMPTS + """, c AS (SELECT domain, count(*) FILTER (cohort = 'target') AS t, count(*) FILTER (cohort = 'baseline') AS b FROM prompts GROUP BY domain), x AS (SELECT t / sum(t) OVER () AS p, b / sum(b) OVER () AS q FROM c)

@@ -101,10 +101,7 @@ def sensitivity_curve(s: SparkSession, d: str) -> DataFrame:
 
 @query(treatment.PERM + ", sd AS (SELECT axis_id, avg(draw) AS m, stddev_samp(draw) AS sd FROM draws GROUP BY axis_id) SELECT axis_id, perm, row_number() OVER (PARTITION BY axis_id ORDER BY round(draw, 12), perm) AS place, round((draw - m) / sd, 4) AS z FROM draws JOIN sd USING (axis_id)")
 def null_qq(s: SparkSession, d: str) -> DataFrame:
-    m = treatment.matrix(s, d)
-    labels = S.shuffled_labels(m.select("prompt_id", "community").distinct(), treatment.PERMUTATIONS, treatment.SEED)
-    side = lambda c, t: F.sum(F.when(F.col("is_target") == t, F.col(c)))
-    draws = m.drop("community").join(labels, "prompt_id").groupBy("axis_id", "perm").agg((side("yes", True) / side("n", True) - side("yes", False) / side("n", False)).alias("draw"))
+    draws = S.permutation_draws(treatment.matrix(s, d), treatment.PERMUTATIONS, treatment.SEED)
     w = Window.partitionBy("axis_id")
     z = (F.col("draw") - F.avg("draw").over(w)) / F.stddev_samp("draw").over(w)
     return draws.select("axis_id", "perm", F.row_number().over(w.orderBy(F.round("draw", 12), "perm")).cast("long").alias("place"), F.round(z, 4).alias("z"))

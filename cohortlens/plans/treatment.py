@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import information as I
 from ..operators import statistics as S
+from ..operators.permutation import sql_labels
 from ..sources import views as V
 
-PERMUTATIONS, SEED = 50, 17
+PERMUTATIONS, SEED = 2000, 17
 QUERIES, ORACLE = {}, {}
 
 
@@ -39,12 +40,14 @@ r1 AS (SELECT *, n_target / (n_target + n_baseline) AS w, w * rate_target + (1 -
 rates AS (SELECT axis_id, n_target, n_baseline, rate_target, rate_baseline, rate_target - rate_baseline AS delta,
             greatest(0, {_H["mixed"]} - w * ({_H["rate_target"]}) - (1 - w) * ({_H["rate_baseline"]})) AS info_bits,
             least(n_target, n_baseline) < 3 AS insufficient_data FROM r1)"""
+_WIDE = ", ".join(f"coalesce(sum({c}) FILTER (axis_id = '{a}'), 0) AS {c}_{a}" for a in V.AXES for c in ("yes", "n"))
+_DRAWN = ", ".join(f"sum(yes_{a}) FILTER (drawn) / sum(n_{a}) FILTER (drawn) - sum(yes_{a}) FILTER (NOT drawn) / sum(n_{a}) FILTER (NOT drawn) AS d_{a}" for a in V.AXES)
+_LONG = " UNION ALL ".join(f"SELECT perm, '{a}' AS axis_id, d_{a} AS draw FROM sums WHERE '{a}' IN (SELECT axis_id FROM rates)" for a in V.AXES)
 PERM = f"""{RATES},
-clusters AS (SELECT DISTINCT prompt_id, community FROM matrix),
-labels AS (SELECT perm, prompt_id, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws(':', '{SEED}', perm, prompt_id)), prompt_id)
-             <= (SELECT count(*) FROM clusters WHERE community = 'target') AS is_target FROM clusters CROSS JOIN range({PERMUTATIONS}) AS p(perm)),
-draws AS (SELECT perm, axis_id, sum(yes) FILTER (is_target) / sum(n) FILTER (is_target) - sum(yes) FILTER (NOT is_target) / sum(n) FILTER (NOT is_target) AS draw
-          FROM matrix JOIN labels USING (prompt_id) GROUP BY perm, axis_id),
+clusters AS (SELECT prompt_id, community = 'target' AS is_target, {_WIDE} FROM matrix GROUP BY prompt_id, community),
+{sql_labels("clusters", "prompt_id", SEED, PERMUTATIONS)},
+sums AS (SELECT perm, {_DRAWN} FROM labels GROUP BY perm),
+draws AS ({_LONG}),
 tested AS (SELECT axis_id, delta, count(*) FILTER (coalesce(abs(draw) >= abs(delta) - 1e-12, true)) AS exceed FROM draws JOIN rates USING (axis_id) GROUP BY axis_id, delta),
 pvals AS (SELECT *, (1 + exceed) / ({PERMUTATIONS} + 1) AS p_value FROM tested)"""
 BH = """
@@ -77,18 +80,9 @@ def bh_fdr(s: SparkSession, d: str) -> DataFrame:
     return out.select("axis_id", *r6("delta", "p_value", "q_value"), "significant")
 
 
-@query()
-def perm_rate_gap_arrow(s: SparkSession, d: str) -> DataFrame:
-    return S.permutation_p_values_arrow(matrix(s, d), 500, SEED).select("axis_id", *r6("delta", "p_value"))
-
-
 @query(PERM + " SELECT axis_id, perm, round(draw, 6) AS draw FROM draws WHERE axis_id = 'taxed' AND draw IS NOT NULL")
 def perm_null_histogram(s: SparkSession, d: str) -> DataFrame:
-    m = matrix(s, d).filter("axis_id = 'taxed'")
-    labels = S.shuffled_labels(matrix(s, d).select("prompt_id", "community").distinct(), PERMUTATIONS, SEED)
-    side = lambda c, t: F.sum(F.when(F.col("is_target") == t, F.col(c)))
-    draws = m.drop("community").join(labels, "prompt_id").groupBy("axis_id", "perm").agg((side("yes", True) / side("n", True) - side("yes", False) / side("n", False)).alias("draw"))
-    return draws.filter("draw IS NOT NULL").select("axis_id", "perm", *r6("draw"))
+    return S.permutation_draws(matrix(s, d), PERMUTATIONS, SEED).filter("axis_id = 'taxed'").select("axis_id", "perm", *r6("draw"))
 
 
 @query(RATES + """,
@@ -126,9 +120,10 @@ e AS (SELECT *, target_count + baseline_count AS c, t + b AS n FROM freq, tot),
 chi AS (SELECT sum(pow(target_count - t * c / n, 2) / (t * c / n) + pow(baseline_count - b * c / n, 2) / (b * c / n)) AS chi2, count(*) - 1 AS dof, sum(abs(target_count / t - baseline_count / b)) / 2 AS tv_distance FROM e)"""
 
 
-@query(CHI + " SELECT round(chi2, 6) AS chi2, dof, round(tv_distance, 6) AS tv_distance FROM chi")
+# for an even number of degrees of freedom, as here, the tail is a finite sum
+@query(CHI + " SELECT round(chi2, 6) AS chi2, dof, round(tv_distance, 6) AS tv_distance, round(exp(-chi2 / 2) * (SELECT sum(pow(chi2 / 2, i) / gamma(i + 1)) FROM range(0, CAST(dof // 2 AS BIGINT)) AS r(i)), 6) AS p_value FROM chi")
 def chi2_comparability(s: SparkSession, d: str) -> DataFrame:
-    return S.chi_square_table(instruction_counts(s, d), "instruction_id", "target_count", "baseline_count").select(*r6("chi2"), "dof", *r6("tv_distance"))
+    return S.chi_square_table(instruction_counts(s, d), "instruction_id", "target_count", "baseline_count").select(*r6("chi2"), "dof", *r6("tv_distance", "p_value"))
 
 
 @query(CHI + " SELECT round(tv_distance, 6) AS tv_distance FROM chi")
@@ -205,11 +200,8 @@ kap AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN pa * pb + (1 - pa) * (1 - pb) >
 
 
 def verdict_pair_rows(s: SparkSession, d: str) -> DataFrame:
-    v = V.verdicts(s, d).filter("verdict IS NOT NULL").select("response_id", "axis_id", "judge", "verdict")
-    # all judges of one answer stand in one group of at most as many rows as the panel has
-    panel = v.groupBy("response_id", "axis_id").agg(F.map_from_entries(F.collect_list(F.struct("judge", "verdict"))).alias("m"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("judge_a"), F.lit(b).alias("judge_b"), F.element_at("m", F.lit(a)).alias("a"), F.element_at("m", F.lit(b)).alias("b")) for i, a in enumerate(V.JUDGES) for b in V.JUDGES[i + 1 :])))
-    return panel.select("response_id", "axis_id", pairs.alias("p")).select("response_id", "axis_id", "p.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    by = ["response_id", "axis_id"]
+    return S.judge_pairs(S.judge_panel(V.verdicts(s, d), list(V.JUDGES), by), list(V.JUDGES), by)
 
 
 @query(PAIRS + " SELECT judge_a, judge_b, count(*) AS n_pairs, count(*) FILTER (a = b) AS n_equal FROM pairs GROUP BY ALL")

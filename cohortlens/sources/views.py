@@ -64,12 +64,14 @@ responses AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
+def verdicts(spark: SparkSession, d: str, judges: tuple[str, ...] = JUDGES) -> DataFrame:
     """One row a response, judge and axis; verdict is null where the judge's answer could not be read."""
     axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis_id"), F.col(a).alias("base")) for a in AXES)))
-    judges = F.explode(F.array(*(F.struct(F.lit(j).alias("judge"), F.lit(FLIPS[j]).alias("bound")) for j in JUDGES)))
-    rows = responses(spark, d).select("response_id", "prompt_id", "community", "instruction_id", "sample_index", axes.alias("a")).select("*", judges.alias("j"))
-    flip = F.md5(F.concat_ws(":", "j.judge", "response_id", "a.axis_id")) < F.col("j.bound")
+    flips = any(FLIPS[j] != "0" for j in judges)
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("judge"), F.lit(FLIPS[j]).alias("bound")) for j in judges)))
+    rows = responses(spark, d).select("response_id", "prompt_id", "community", "instruction_id", "sample_index", axes.alias("a")).select("*", each.alias("j"))
+    # a bound of "0" lies below every hash: that judge never departs from the first
+    flip = F.md5(F.concat_ws(":", "j.judge", "response_id", "a.axis_id")) < F.col("j.bound") if flips else F.lit(False)
     return rows.select(
         "response_id", "prompt_id", "community", "instruction_id", F.col("j.judge").alias("judge"), F.col("a.axis_id").alias("axis_id"),
         F.when(F.col("sample_index") % 7 != 0, F.col("a.base") != flip).alias("verdict"),
@@ -88,7 +90,7 @@ verdicts AS (
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """The first judge's verdicts: one row a response and axis."""
-    return verdicts(spark, d).filter("judge = 'j0'").drop("judge")
+    return verdicts(spark, d, ("j0",)).drop("judge")
 
 
 PANEL = f"""{VERDICTS},
