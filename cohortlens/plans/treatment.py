@@ -32,24 +32,35 @@ MATRIX = f"""{V.PANEL},
 matrix AS (SELECT prompt_id, community, axis_id, CAST(sum(CAST(verdict AS INT)) AS BIGINT) AS yes, count(verdict) AS n FROM panel WHERE verdict IS NOT NULL GROUP BY ALL)"""
 ENTROPY = "CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE -({p}) * log2({p}) - (1 - ({p})) * log2(1 - ({p})) END"
 _H = {k: ENTROPY.format(p=k) for k in ("rate_target", "rate_baseline", "mixed")}
-RATES = f"""{MATRIX},
-r0 AS (SELECT axis_id, CAST(sum(n) FILTER (community = 'target') AS BIGINT) AS n_target, CAST(sum(n) FILTER (community = 'baseline') AS BIGINT) AS n_baseline,
+
+def rates_sql(matrix: str) -> str:
+    """CTE ``rates`` over the CTE ``matrix``."""
+    return f"""{matrix},
+r0 AS (SELECT axis_id, CAST(coalesce(sum(n) FILTER (community = 'target'), 0) AS BIGINT) AS n_target, CAST(coalesce(sum(n) FILTER (community = 'baseline'), 0) AS BIGINT) AS n_baseline,
          sum(yes) FILTER (community = 'target') / sum(n) FILTER (community = 'target') AS rate_target,
          sum(yes) FILTER (community = 'baseline') / sum(n) FILTER (community = 'baseline') AS rate_baseline FROM matrix GROUP BY axis_id),
 r1 AS (SELECT *, n_target / (n_target + n_baseline) AS w, w * rate_target + (1 - w) * rate_baseline AS mixed FROM r0),
 rates AS (SELECT axis_id, n_target, n_baseline, rate_target, rate_baseline, rate_target - rate_baseline AS delta,
             greatest(0, {_H["mixed"]} - w * ({_H["rate_target"]}) - (1 - w) * ({_H["rate_baseline"]})) AS info_bits,
             least(n_target, n_baseline) < 3 AS insufficient_data FROM r1)"""
-_WIDE = ", ".join(f"coalesce(sum({c}) FILTER (axis_id = '{a}'), 0) AS {c}_{a}" for a in V.AXES for c in ("yes", "n"))
-_DRAWN = ", ".join(f"sum(yes_{a}) FILTER (drawn) / sum(n_{a}) FILTER (drawn) - sum(yes_{a}) FILTER (NOT drawn) / sum(n_{a}) FILTER (NOT drawn) AS d_{a}" for a in V.AXES)
-_LONG = " UNION ALL ".join(f"SELECT perm, '{a}' AS axis_id, d_{a} AS draw FROM sums WHERE '{a}' IN (SELECT axis_id FROM rates)" for a in V.AXES)
-PERM = f"""{RATES},
-clusters AS (SELECT prompt_id, community = 'target' AS is_target, {_WIDE} FROM matrix GROUP BY prompt_id, community),
-{sql_labels("clusters", "prompt_id", SEED, PERMUTATIONS)},
-sums AS (SELECT perm, {_DRAWN} FROM labels GROUP BY perm),
-draws AS ({_LONG}),
+
+
+def tests_sql(rates: str, axes: tuple[str, ...], seed: int, permutations: int) -> str:
+    """CTEs ``draws`` and ``pvals`` over ``matrix`` and ``rates``."""
+    wide = ", ".join(f"coalesce(sum({c}) FILTER (axis_id = '{a}'), 0) AS {c}_{a}" for a in axes for c in ("yes", "n"))
+    drawn = ", ".join(f"sum(yes_{a}) FILTER (drawn) / sum(n_{a}) FILTER (drawn) - sum(yes_{a}) FILTER (NOT drawn) / sum(n_{a}) FILTER (NOT drawn) AS d_{a}" for a in axes)
+    long = " UNION ALL ".join(f"SELECT perm, '{a}' AS axis_id, d_{a} AS draw FROM sums WHERE '{a}' IN (SELECT axis_id FROM rates)" for a in axes)
+    return f"""{rates},
+clusters AS (SELECT prompt_id, community = 'target' AS is_target, {wide} FROM matrix GROUP BY prompt_id, community),
+{sql_labels("clusters", "prompt_id", seed, permutations)},
+sums AS (SELECT perm, {drawn} FROM labels GROUP BY perm),
+draws AS ({long}),
 tested AS (SELECT axis_id, delta, count(*) FILTER (coalesce(abs(draw) >= abs(delta) - 1e-12, true)) AS exceed FROM draws JOIN rates USING (axis_id) GROUP BY axis_id, delta),
-pvals AS (SELECT *, (1 + exceed) / ({PERMUTATIONS} + 1) AS p_value FROM tested)"""
+pvals AS (SELECT *, CASE WHEN delta IS NULL THEN 1 ELSE (1 + exceed) / ({permutations} + 1) END AS p_value FROM tested)"""
+
+
+RATES = rates_sql(MATRIX)
+PERM = tests_sql(RATES, V.AXES, SEED, PERMUTATIONS)
 BH = """
 ranked AS (SELECT *, row_number() OVER (ORDER BY p_value, axis_id) AS i, count(*) OVER () AS m FROM pvals),
 fdr AS (SELECT *, least(1, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM ranked)"""
