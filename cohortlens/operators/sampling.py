@@ -24,10 +24,24 @@ def per_group_cap(df: DataFrame, group: str, key: str, n: int, seed: int) -> Dat
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
+def hash_rank(df: DataFrame, seed: int | str, key: str, name: str) -> DataFrame:
+    """Adds the place, from 1, of each key in hash order over all rows (one row a key).
+
+    The hash's first three digits deal the rows into 4096 parts; their sizes, a row each,
+    give each part its start, so that no task ranks more than a part.
+    """
+    rows = df.withColumn("_h", hashed(seed, key)).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_p", before.alias("_s"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    return rows.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + own).drop("_h", "_p", "_s")
+
+
 def round_robin_folds(authors: DataFrame, k: int, seed: int) -> DataFrame:
     """Whole authors dealt over k folds in hash order."""
-    w = Window.orderBy(hashed(seed, "author_id"), "author_id")
-    return authors.select("author_id").distinct().withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("long"))
+    ranked = hash_rank(authors.select("author_id").distinct(), seed, "author_id", "_k")
+    return ranked.select("author_id", ((F.col("_k") - 1) % k).cast("long").alias("fold"))
 
 
 def density_dial(df: DataFrame, key: str, p: float) -> Column:

@@ -245,7 +245,7 @@ def fold_round_robin(s: SparkSession, d: str) -> DataFrame:
 @query(V.PROMPTS + " SELECT author_id, row_number() OVER (ORDER BY md5(concat_ws(':', 'null', author_id)), author_id) % 2 AS half FROM (SELECT DISTINCT author_id FROM prompts WHERE cohort = 'target')")
 def null_split(s: SparkSession, d: str) -> DataFrame:
     a = V.prompts(s, d).filter("cohort = 'target'").select("author_id").distinct()
-    return a.withColumn("half", (F.row_number().over(Window.orderBy(P.hashed("null", "author_id"), "author_id")) % 2).cast("long"))
+    return P.hash_rank(a, "null", "author_id", "k").select("author_id", (F.col("k") % 2).cast("long").alias("half"))
 
 
 @query(V.AUTHORS + " SELECT age, author_id FROM (SELECT age, author_id, row_number() OVER (PARTITION BY age ORDER BY md5(concat_ws(':', '1', author_id)), author_id) AS n FROM authors WHERE cohort = 'target') WHERE n <= 3")
