@@ -3,11 +3,14 @@
 log posterior = log P(language | host) + text log-likelihood / TEMPER
                 + log P(declared markup language | language) + log P(address suffix | language)
 
+The prior of a host and the likelihood of its suffix are two things here: the suffix does not
+take part in the smoothing of hosts, so that it counts once.
+
 The text model is multinomial over all lower-cased words, hashed to BUCKETS and counted over
 all labelled documents by grouped aggregation. The other tables are counted over the pages
 themselves, with each page's text posterior as its label: the host prior is
-smoothed towards its registered domain's, that one towards its suffix's, and
-that one towards the language shares of all pages, each with SMOOTH pseudo-pages.
+smoothed towards its registered domain's, and that one towards the language shares of all
+pages, each with SMOOTH pseudo-pages; a suffix's likelihood in each language towards its share of all pages.
 
 Defined cases
 - null html or no text: the other evidence decides. Null url: host, domain and suffix are "".
@@ -44,7 +47,8 @@ BUCKETS = 1 << 18
 #: Letters of scripts without spaces between words (Thai to Khmer, kana, Han): each is a word, as a run of them is a sentence.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 _ALONE_WIDE = (0x20000, 0x3FFFF)
-_HIDDEN = re.compile(r"<(script|style|head|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPEN = re.compile(r"<(?:(script|style|head|nav|template)\b|!--)", re.I)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "head", "nav", "template")} | {"!--": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _ANY = f"[{_ALONE}{chr(_ALONE_WIDE[0])}-{chr(_ALONE_WIDE[1])}]"
 _WORD = re.compile(rf"{_ANY}|[^\W\d_{_ANY[1:-1]}]+")
@@ -52,8 +56,28 @@ _JAVA = r"[%s\x{%x}-\x{%x}]" % (_ALONE, *_ALONE_WIDE)
 _JAVA_WORD = rf"{_JAVA}|[\p{{L}}&&[^{_JAVA[1:-1]}]]+"
 
 
+def without_hidden(html: str) -> str:
+    """Hidden elements and comments as a space. One that is never closed stays; its kind is not searched for again, so a page takes linear time."""
+    out, kept, at, unclosed = [], 0, 0, set()
+    while m := _OPEN.search(html, at):
+        at, kind = m.end(), (m[1] or "!--").lower()
+        if kind in unclosed:
+            continue
+        end = _CLOSE[kind].search(html, at)
+        if not end:
+            unclosed.add(kind)
+            continue
+        out.append(html[kept : m.start()])
+        kept = at = end.end()
+    return " ".join([*out, html[kept:]])
+
+
 def visible_text(html: str | None) -> str:
-    return unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html))) if html else ""
+    if not html:
+        return ""
+    shown = without_hidden(html)
+    last = shown.rfind(">") + 1  # behind it no tag ends
+    return unescape(_TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 @lru_cache(maxsize=200_000)
@@ -134,14 +158,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = materialise(features(pages, langs, model, known), "language-features")
     rows = rows.withColumn("p", _posterior(F.col("text")))
     seen = rows.filter("n_words > 0")
-    # host priors: four levels of grouped aggregation, each smoothed towards the one above
+    # host priors: three levels of grouped aggregation, each smoothed towards the one above; suffixes beside them
     hosts = _sums(seen, ["host", "domain", "suffix"], k)
     up = lambda df, keys: df.groupBy(*keys).agg(F.array(*(F.sum(F.col("m")[i]) for i in range(k))).alias("m"))
     suffixes = up(hosts, ["suffix"])
     overall = suffixes.agg(F.array(*(F.coalesce(F.sum(F.col("m")[i]), F.lit(0.0)) for i in range(k))).alias("m")).select(_smoothed_even(k).alias("q0"))
-    suffixes = suffixes.crossJoin(F.broadcast(overall)).select("suffix", _smoothed("m", "q0").alias("q1"))  # one row of shares
-    domains = up(hosts, ["domain", "suffix"]).join(suffixes, "suffix").select("domain", "suffix", "q1", _smoothed("m", "q1").alias("q2"))
-    hosts = hosts.join(domains, ["domain", "suffix"]).select("host", "domain", "suffix", _smoothed("m", "q2").alias("q3"))
+    totals = suffixes.agg(F.array(*(F.coalesce(F.sum(F.col("m")[i]), F.lit(0.0)) for i in range(k))).alias("all"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    share = total(F.col("m")) / F.greatest(total(F.col("all")), F.lit(1e-9))
+    likely = F.zip_with("m", "all", lambda x, n: F.log((1 - ERROR) * (x + SMOOTH * share) / (n + SMOOTH) + ERROR * share))
+    suffixes = suffixes.crossJoin(F.broadcast(totals)).select("suffix", likely.alias("by_suffix"))  # one row of totals
+    domains = up(hosts, ["domain", "suffix"]).crossJoin(F.broadcast(overall)).select("domain", "suffix", _smoothed("m", "q0").alias("q2"))
+    hosts = hosts.join(domains, ["domain", "suffix"]).select("host", _smoothed("m", "q2").alias("q3"))
     q0 = overall.first()["q0"]
     even = F.array(*(F.lit(float(x)) for x in q0))
     # what declared markup and address paths say, given the language
@@ -153,9 +181,12 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         votes[c] = F.create_map(*(x for v in langs for x in (F.lit(v), F.array(*(F.lit(math.log(p(v, i))) for i in range(k))))))
     zero = F.array(*(F.lit(0.0) for _ in range(k)))
     vote = lambda c: F.coalesce(F.element_at(votes[c], F.col(c)), zero)
-    out = rows.join(hosts.select("host", "q3"), "host", "left").withColumn("prior", F.transform(F.coalesce("q3", even), lambda x: F.log(F.greatest(x, F.lit(1e-9)))))
+    out = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left").withColumn("prior", F.transform(F.coalesce("q3", even), lambda x: F.log(F.greatest(x, F.lit(1e-9)))))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    out = out.withColumn("post", _posterior(add(add(add(F.col("prior"), F.col("text")), vote("declared")), vote("path_language"))))
+    evidence = F.col("prior")
+    for one in (F.col("text"), vote("declared"), F.coalesce("by_suffix", zero), vote("path_language")):
+        evidence = add(evidence, one)
+    out = out.withColumn("post", _posterior(evidence))
     names = F.array(*(F.lit(g) for g in langs))
     best = lambda c: names[(F.array_position(c, F.array_max(c)) - 1).cast("int")]
     return out.select("page_id", "host", "declared", "suffix", "n_words", best(F.col("post")).alias("language"), F.array_max("post").alias("confidence"), F.when(F.col("n_words") > 0, best(F.col("p"))).alias("text_language"))

@@ -192,6 +192,57 @@ def test_quality_fallback_is_fitted_on_the_whole_language(spark):
     assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_language_id_by_definition(spark):
+    """Every factor by hand: text, markup, address path, suffix, and the host prior over three levels."""
+    import math
+
+    docs = spark.createDataFrame([(0, "aa bb cc aa", "en"), (1, "dd ee bb", "fr")], "doc_id long, text string, lang string")
+    spec = [("h1.x.fr", "dd ee", "fr", "fr"), ("h1.x.fr", "dd bb", "fr", ""), ("h2.x.fr", "aa", "en", "en"), ("y.com", "aa cc", "en", ""), ("y.com", "bb", "", ""), ("z.fr", "", "", ""), (None, "cc", None, "")]
+    rows = [(i, None if h is None else f"https://{h}/{p + '/' if p else ''}i", f'<html lang="{g}"><p>{t}</p>') for i, (h, t, g, p) in enumerate(spec)]
+    got = {r["page_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    langs, S, E = ["en", "fr"], language_id.SMOOTH, language_id.ERROR
+    n = {"en": {"aa": 2, "bb": 1, "cc": 1}, "fr": {"dd": 1, "ee": 1, "bb": 1}}
+    size = {g: sum(n[g].values()) for g in langs}
+    word = lambda w, g: math.log(n[g].get(w, 0) / size[g] + 1 / sum(size.values()))
+    norm = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
+    text = [[sum(word(w, g) for w in t.split()) * min(1, language_id.TEXT_WORDS / max(1, len(t.split()))) for g in langs] for _, t, _, _ in spec]
+    p = [norm(x) for x in text]
+    seen = [i for i, (_, t, _, _) in enumerate(spec) if t]
+    sums = lambda keep: [sum(round(p[i][k], 6) for i in seen if keep(i)) for k in range(2)]
+    host = lambda i: spec[i][0] or ""
+    domain = lambda i: ".".join(host(i).split(".")[-2:]) if "." in host(i) else ""
+    suffix = lambda i: host(i).rsplit(".", 1)[-1]
+    smooth = lambda m, q: [(x + S * y) / (sum(m) + S) for x, y in zip(m, q)]
+    every = sums(lambda i: True)
+    q0 = [(x + S / 2) / (sum(every) + S) for x in every]
+    for i, (_, _, declared, path) in enumerate(spec):
+        prior = smooth(sums(lambda j: host(j) == host(i)), smooth(sums(lambda j: domain(j) == domain(i)), q0)) if any(host(j) == host(i) for j in seen) else q0
+        logs = [math.log(x) + t for x, t in zip(prior, text[i])]
+        for column, said in ((2, declared), (3, path)):
+            if said in langs:
+                m = {g: sums(lambda j: spec[j][column] == g) for g in langs}
+                for k in range(2):
+                    all_k = sum(m[g][k] for g in langs)
+                    logs[k] += math.log((1 - E) * (m[said][k] + S * (said == langs[k]) + 1 / 2) / (all_k + S + 1) + E / 2)
+        m = sums(lambda j: suffix(j) == suffix(i))
+        if any(suffix(j) == suffix(i) for j in seen):
+            share = sum(m) / sum(every)
+            logs = [v + math.log((1 - E) * (m[k] + S * share) / (every[k] + S) + E * share) for k, v in enumerate(logs)]
+        post = norm(logs)
+        assert got[i]["confidence"] == pytest.approx(max(post), abs=2e-5) and got[i]["language"] == langs[post.index(max(post))]
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for html in ("<script>" * 200_000, "<!--" * 300_000, "<a " * 500_000, "<script>x</script>" * 100_000):
+        t = time.perf_counter()
+        language_id.visible_text(html)
+        assert time.perf_counter() - t < 5
+    assert language_id.visible_text("a<script>b</SCRIPT >c<!-- d -->e<style>f").split() == ["a", "c", "e", "f"]
+    assert language_id.visible_text("x <b>y</b> < z") == "x  y  < z" and language_id.visible_text(None) == ""
+
+
 def test_language_id_counts_long_and_rare_words(spark):
     rows = [(i, " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[j % 26]}{'abcdefghijklmnopqrstuvwxyz'[j // 26 % 26]}{'abcdefghijklmnopqrstuvwxyz'[j // 676]}" for j in range(i * 500, i * 500 + 500)) + " common words", "en") for i in range(35)] * 3
     rows += [(900, "verantwortung geschwindigkeit", "de"), (901, "velmi zcela", "cs"), (902, "我们在学校学习中文", "zh"), (903, "私は学校で勉強します", "ja")]
