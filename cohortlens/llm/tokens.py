@@ -18,6 +18,10 @@ import numpy as np
 #: The default tokenizer: a file name within the installed vocabulary package, or a path.
 TOKENIZER = "word_bpe_49k.json"
 GENERATION = 500_000
+#: Bytes of a word up to which it is kept, which bounds the cache's memory.
+KEPT = 64
+#: A text on which word-wise ids must be the library's: a tokenizer that joins over white space or does not lower-case is refused.
+PROBE = "Hello, WORLD! It's (some) text: 12% of it, e.g. <tag> été... end."
 #: Marks that the tokenizer splits off letters before them.
 MARKS = b".,!?;:#$%&*|"
 
@@ -49,16 +53,21 @@ class _Words(dict):
         elif out is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
             out = np.array(ids, "<u4").tobytes()
-        if len(self) >= GENERATION:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out
+        if len(word) <= KEPT:
+            if len(self) >= GENERATION:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
 
 @lru_cache(maxsize=2)
 def _cache(name: str) -> _Words:
-    return _Words(name)
+    words = _Words(name)
+    ids = np.frombuffer(b"".join(map(words.__getitem__, PROBE.encode().split())), "<u4").tolist()
+    if ids != words.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+        raise ValueError(f"{name} does not tokenize word by word")
+    return words
 
 
 @lru_cache(maxsize=2)
