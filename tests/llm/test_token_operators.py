@@ -151,6 +151,27 @@ def test_pfair_keeps_every_source_within_one_block():
         assert None not in order and mixing.deviation(order * 2, w) < 1
 
 
+def earliest_deadline_first(blocks, targets, period):
+    """Slot by slot: of the released blocks the one due first runs; when a source runs out, weights and clocks start anew."""
+    left, begun, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while left:
+        total = sum(targets[q] for q in left)
+        exact = {q: targets[q] * period / total for q in left}
+        w = {q: max(1, int(x)) for q, x in exact.items()}
+        for q in sorted(exact, key=lambda q: (int(exact[q]) - exact[q], q))[: period - sum(w.values())]:
+            w[q] += 1
+        done, t = dict.fromkeys(left, 0), 0
+        while all(left[q] > done[q] for q in left):
+            released = [(-(-(n + 1) * period // w[q]), q) for q, n in done.items() if n * period // w[q] <= t]
+            q = min(released)[1]
+            out.append((q, begun[q] + done[q]))
+            done[q] += 1
+            t += 1
+        begun = {q: begun[q] + done[q] for q in left}
+        left = {q: left[q] - done[q] for q in left if left[q] > done[q]}
+    return out
+
+
 def test_mixing_against_a_plain_simulation(spark, docs):
     rows = [(i, "x" * (10 + i % 7), "en", f"src{i % 3}" if i % 5 else None, 1, "clash", 0) for i in range(300)] + ROWS
     df = spark.createDataFrame(rows, SCHEMA)
@@ -165,16 +186,7 @@ def test_mixing_against_a_plain_simulation(spark, docs):
     left = defaultdict(int)
     for q, b in slots.values():
         left[q] += 1
-    plan, want = mixing.phases(dict(left), targets, 20), []
-    done = dict.fromkeys(left, 0)
-    for i, p in enumerate(plan):  # slot by slot
-        end = plan[i + 1].slot if i + 1 < len(plan) else len(slots)
-        pos = {s: q for q, o in p.order.items() for s in o}
-        for t in range(end - p.slot):
-            q = pos[t % 20]
-            want.append((q, done[q]))
-            done[q] += 1
-    assert [slots[t] for t in range(len(slots))] == want
+    assert [slots[t] for t in range(len(slots))] == earliest_deadline_first(dict(left), targets, 20)
     mixed = mixing.mix(df, targets)
     assert mixed.columns == df.columns and mixed.count() == len(rows)
     assert mixing.slots(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
