@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.information import wilson
-from .sampling import hashed, round_robin_folds
+from .sampling import hash_rank, round_robin_folds
 
 #: Rows up to which a test that needs all vectors in each task may run; beyond it, sample first.
 MOST_ROWS = 20_000
@@ -82,17 +82,23 @@ def c2st_linear(vectors: DataFrame, folds: int = 5, permutations: int = 20, seed
 
 
 def c2st_behavior(features: DataFrame, label: str, columns: list[str], test: float = 0.3, seed: int = 0) -> DataFrame:
-    """Accuracy on one stratified split by hash rank, its Wilson interval, and whether it is above the majority rate.
+    """Accuracy on one split by hash rank within each label, its Wilson interval, and whether it is above the majority rate.
 
+    Rows with an empty feature are left out and counted (n_dropped). Under ten rows, or of one label only: nulls.
     The fit is Spark's own logistic regression, so rows never leave the cluster.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    # a hash below the bound instead of an exact quota: no order over all rows
-    bound = f"{int(test * 2**32):08x}"
-    rows = features.withColumns({"_test": F.substring(hashed(seed, "response_id"), 1, 8) < bound, "label": (F.col(label) == "target").cast("double")})
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select("features", "label", "_test")
+    given = features.withColumn("label", (F.col(label) == "target").cast("double"))
+    whole = given.dropna(subset=[*columns, "label"])
+    sizes = {r["label"]: r["n"] for r in whole.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    dropped = given.count() - sum(sizes.values())
+    if len(sizes) < 2 or sum(sizes.values()) < 10:
+        row = [(dropped, sum(sizes.values()), None, None, None, None, None)]
+        return features.sparkSession.createDataFrame(row, "n_dropped long, n long, accuracy double, low double, high double, majority double, above_chance boolean")
+    parts = [hash_rank(whole.filter(F.col("label") == v), seed, "response_id", "_k").withColumn("_test", F.col("_k") <= max(1, round(test * n))) for v, n in sorted(sizes.items())]
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(parts[0].unionByName(parts[1])).select("features", "label", "_test")
     train = rows.filter(~F.col("_test"))
     n = train.count()
     model = LogisticRegression(regParam=1 / max(n, 1), elasticNetParam=0.0, standardization=False).fit(train)
@@ -100,7 +106,7 @@ def c2st_behavior(features: DataFrame, label: str, columns: list[str], test: flo
     out = model.transform(rows.filter("_test")).agg(F.sum(hit).alias("k"), F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
     low, high = wilson(F.col("k"), F.col("n"))
     majority = F.greatest(F.col("share"), 1 - F.col("share"))
-    return out.select("n", (F.col("k") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), majority.alias("majority"), (low > majority).alias("above_chance"))
+    return out.select(F.lit(dropped).cast("long").alias("n_dropped"), "n", (F.col("k") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), majority.alias("majority"), (low > majority).alias("above_chance"))
 
 
 def mmd_fuse(vectors: DataFrame, permutations: int = 500, seed: int = 0) -> DataFrame:
