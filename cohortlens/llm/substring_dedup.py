@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import recompression as R
-from ._common import Query, fresh, materialise, read, shuffle_partitions, words
+from ._common import Query, fresh, materialise, read, scratch, shuffle_partitions, words
 
 WINDOW = 50
 #: Bytes of text that one numpy pass takes, and windows after which a task hands over what it has.
@@ -266,10 +266,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Untouched texts stay as they are; in others the words go with the white space
     after them. n_chars follows the text.
     """
-    _, facts, spans = _repeats(docs, window)
     names = docs.columns
     key, copy, own, found, stays, was_cut = fresh(docs, "_key", "_copy", "_own", "_found", "_stays", "_was_cut")
-    facts = facts.filter("copy").select(F.col("_k").alias(copy)).distinct()
+    with scratch() as keep:
+        _, facts, spans = _repeats(docs, window)
+        facts = keep(materialise(facts.filter("copy").select(F.col("_k").alias(copy)).distinct(), "substring-copies"))
+        spans = keep(materialise(spans, "substring-spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
