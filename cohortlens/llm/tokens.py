@@ -4,7 +4,9 @@ The tokenizer used here never joins text across ASCII white space, drops the
 white space itself, lower-cases, and splits letters from marks, so a text's ids
 are its words' ids in order, and a word's are those of its letters and of the
 marks behind them. They come from the library once and are then looked up; the
-cache keeps two generations of bounded size.
+cache keeps two generations of bounded size. Of Latin letters the normal form is
+known, so they go to the library's model itself, past its normalizer and regular
+expressions, where the tokenizer proves to be of that kind.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ KEPT = 64
 PROBE = "Hello, WORLD! It's (some) text: 12% of it, e.g. <tag> été... end."
 #: Marks that the tokenizer splits off letters before them.
 MARKS = b".,!?;:#$%&*|"
+#: The last of the letters whose normal form is the lower-cased letter (Latin, extended A and B).
+LATIN = "\u024f"
+#: A byte's character in vocabularies of bytes: printable ones stand for themselves, others for those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,11 +48,30 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.model = self.tokenizer.model
+        #: Whether words of Latin letters go to the model itself.
+        self.direct = True
         self.older: dict[bytes, bytes] = {}
 
+    def _latin(self, word: bytes) -> bytes | None:
+        """The ids of a word of Latin letters; None for others."""
+        if word.isalpha():
+            low = word.decode().lower()
+        else:
+            text = word.decode()
+            if not text or max(text) > LATIN:
+                return None
+            low = "".join(map(str.lower, text))  # letter by letter: a final sigma is like any other
+            if not (text.isalpha() and low.isalpha() and max(low) <= LATIN):
+                return None
+            low = low.encode().decode("latin-1").translate(BYTES)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
+
     def __missing__(self, word: bytes) -> bytes:
         out = self.older.get(word)
         head = word.rstrip(MARKS)
+        if out is None and self.direct and (out := self._latin(head)) is not None and head != word:
+            out += self[word[len(head) :]]
         if out is None and head and head != word and normalize("NFC", head.decode()).lower().isalpha():
             out = self[head] + self[word[len(head) :]]  # letters and marks are split before they are encoded
         elif out is None and word.isalpha() and not word.islower():
@@ -64,10 +90,12 @@ class _Words(dict):
 @lru_cache(maxsize=2)
 def _cache(name: str) -> _Words:
     words = _Words(name)
-    ids = np.frombuffer(b"".join(map(words.__getitem__, PROBE.encode().split())), "<u4").tolist()
-    if ids != words.tokenizer.encode(PROBE, add_special_tokens=False).ids:
-        raise ValueError(f"{name} does not tokenize word by word")
-    return words
+    for words.direct in (True, False):
+        words.clear()
+        ids = np.frombuffer(b"".join(map(words.__getitem__, PROBE.encode().split())), "<u4").tolist()
+        if ids == words.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            return words
+    raise ValueError(f"{name} does not tokenize word by word")
 
 
 @lru_cache(maxsize=2)

@@ -291,3 +291,24 @@ def test_mixing_counts_every_block_of_a_long_text(spark):
     w = mixing.units({"a": 0.5, "b": 0.25}, 20)["a"] / 20
     for slot in range(1, 150):  # in every prefix a is less than one block of text away from its share
         assert abs(sum(s < slot for s in at["a"]) - slot * w) < 1
+
+
+def test_latin_words_skip_the_normalizer_and_keep_the_librarys_ids(monkeypatch):
+    """Words of Latin letters, the bulk of a corpus' new words, are not sent through the whole library, at equal ids."""
+    cache = tokens._Words(tokens.TOKENIZER)
+    whole, asked = cache.tokenizer, []
+
+    class Spy:
+        def encode(self, text, **k):
+            asked.append(text)
+            return whole.encode(text, **k)
+
+    cache.tokenizer = Spy()
+    letters = [chr(i) for i in range(33, 0x250)]
+    for word in [f"{x}a{x}Ab" for x in letters] + ["été,", "STRASSE...", "Ångström", "ΣΑΣ", "İz", "é"]:
+        ids = np.frombuffer(cache[word.encode()], "<u4").tolist()
+        assert ids == whole.encode(word, add_special_tokens=False).ids, word
+    asked.clear()
+    for word in ("Zürich", "naïveté", "Words", "śćież"):
+        cache[word.encode()]
+    assert asked == []
