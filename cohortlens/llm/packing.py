@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import Query, materialise, read
+from ._common import Query, gives_back, materialise, read
 
 SIZE = 2048
 END_ID = 1
@@ -192,7 +192,7 @@ def _tokenised(docs: DataFrame, targets: dict[str, float], end_id: int, tokenize
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("source"), F.xxhash64("text").alias("_t"))
     rows = in_queues(rows, targets, docs.count()).drop("source")
     dealt = rows.repartition("_q", "_b").sortWithinPartitions("_q", "_b", "doc_id", "_t")
-    return materialise(dealt.mapInArrow(run, "_q string, _b long, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
+    return materialise(dealt.mapInArrow(gives_back(run), "_q string, _b long, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
 
 
 def _in_order(docs: DataFrame, end_id: int, tokenizer: str) -> DataFrame:
@@ -225,7 +225,7 @@ def _in_order(docs: DataFrame, end_id: int, tokenizer: str) -> DataFrame:
         rows = docs.select(*columns, *place)
     except AnalysisException:  # not read from files: written, the rows keep their order
         rows = materialise(docs.select(*columns), "packing-rows").select(*columns, *place)
-    return materialise(rows.mapInArrow(run, "_q string, _b string, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
+    return materialise(rows.mapInArrow(gives_back(run), "_q string, _b string, doc_id long, _at long, n_tokens long, ids binary"), "packing-ids")
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, size: int = SIZE, end_id: int = END_ID, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
@@ -267,7 +267,7 @@ def _pieces(ids: DataFrame, targets: dict[str, float], size: int, tokenizer: str
                 )
 
     placed = ids.join(buckets.select("_q", "_b", "_start"), ["_q", "_b"]).select("_q", "doc_id", (F.col("_start") + F.col("_at")).alias("_at"), "n_tokens", "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(gives_back(run), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

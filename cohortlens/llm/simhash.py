@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from ._common import Query, materialise, read
+from ._common import Query, gives_back, materialise, read
 
 ERRORS = 2
 SHINGLE, SEED = 3, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "_t"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_t"))
-    return rows.mapInArrow(run, "doc_id long, fp long, _t long")
+    return rows.mapInArrow(gives_back(run), "doc_id long, fp long, _t long")
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that span every component of the fingerprints (column fp, distinct)."""
-    keyed = distinct.select("fp").mapInArrow(_keys, "key long, fp long, free long")
+    keyed = distinct.select("fp").mapInArrow(gives_back(_keys), "key long, fp long, free long")
     found = []
     while True:
         # only keys that two fingerprints share need to be looked at; sizes by map-side combined counts
@@ -166,10 +166,10 @@ def links(distinct: DataFrame) -> DataFrame:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         large = materialise(sizes.filter(F.col("n") > GROUP), "simhash-large")
         small = keyed.join(large, "key", "left_anti")
-        found.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long"))
+        found.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(gives_back(_verify), "a long, b long"))
         if large.isEmpty():
             break
-        keyed = keyed.join(large.select("key"), "key", "left_semi").mapInArrow(_split, "key long, fp long, free long")
+        keyed = keyed.join(large.select("key"), "key", "left_semi").mapInArrow(gives_back(_split), "key long, fp long, free long")
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import recompression as R
-from ._common import Query, fresh, materialise, read, scratch, shuffle_partitions, words
+from ._common import Query, fresh, gives_back, materialise, read, scratch, shuffle_partitions, words
 
 WINDOW = 50
 #: Bytes of text that one numpy pass takes, and windows after which a task hands over what it has.
@@ -215,7 +215,7 @@ def _repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFr
     """keyed documents; per document its figures and ``copy`` (all its words stand in an earlier document); spans of repeats."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    scan = keyed.mapInArrow(_scan(window), "_k long, _i long, _t long, n_words long, sha binary, names array<long>, opened boolean")
+    scan = keyed.mapInArrow(gives_back(_scan(window)), "_k long, _i long, _t long, n_words long, sha binary, names array<long>, opened boolean")
     scan = materialise(scan, "substring-scan")
     # whole copies: the smallest id stands for all of them, so only it is searched
     first = scan.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("_i").alias("_first"))
@@ -226,8 +226,8 @@ def _repeats(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFr
     by_doc = names.join(shared, "name").select("_k", "name").union(live.filter("opened").select("_k", F.lit(None).cast("long")))
     by_doc = by_doc.groupBy("_k").agg(F.collect_set("name").alias("names"))
     buckets = 8 * shuffle_partitions(spark)
-    sent = keyed.join(by_doc.hint("shuffle_hash"), "_k").mapInArrow(_windows(window, buckets), "bucket int, docs binary, pos binary, h binary, g binary")
-    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "_k long, _i long, _t long, spans binary")
+    sent = keyed.join(by_doc.hint("shuffle_hash"), "_k").mapInArrow(gives_back(_windows(window, buckets)), "bucket int, docs binary, pos binary, h binary, g binary")
+    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gives_back(_answers), "_k long, _i long, _t long, spans binary")
     spans = spans.groupBy("_k", "_i", "_t").agg(F.collect_list("spans").alias("spans"))
     return keyed, facts.select("_k", "_i", "_t", "n_words", "sha", "copy"), spans
 
@@ -248,7 +248,7 @@ def removal_figures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     spans = spans.select("_k", F.col("_i").alias("_i2"), F.col("_t").alias("_t2"), "spans")
     part = keyed.join(spans.hint("shuffle_hash"), "_k").filter("_i = _i2 AND _t = _t2").select("_k", "_i", "_t", "text", "spans")
-    part = part.mapInArrow(cut, "_k long, _i long, _t long, n_removed long, kept_sha256 string").distinct()
+    part = part.mapInArrow(gives_back(cut), "_k long, _i long, _t long, n_removed long, kept_sha256 string").distinct()
     nothing = hashlib.sha256(b"").hexdigest()
     rows = facts.join(part, ["_k", "_i", "_t"], "left")
     whole: Column = F.col("copy")
@@ -294,7 +294,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = tagged.join(facts.hint("shuffle_hash"), F.col(key) == F.col(copy), "left_anti").join(spans.hint("shuffle_hash"), F.col(key) == F.col(own), "left")
     rows = rows.select(*names, found, F.col(found).isNotNull().alias(was_cut))
     schema = StructType([*docs.schema.fields, StructField(stays, BooleanType()), StructField(was_cut, BooleanType())])
-    out = rows.mapInArrow(cut, schema).filter(F.col(stays))
+    out = rows.mapInArrow(gives_back(cut), schema).filter(F.col(stays))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(was_cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)
