@@ -209,7 +209,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         count = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
         dealt = shards.withColumn("block", count(n)).withColumn("lane", F.pmod("g", F.lit(lanes)))
         blocks = blocks.select(F.col("g").alias("block"), *(F.col(c).alias(f"q{c}") for c in ("uids", "ids", "least", "n", "x"))).withColumn("lane", count(lanes))
-        return dealt.join(blocks, ["block", "lane"]).mapInArrow(_match(k), "quid long, query_id long, vec_id long, score long")
+        # merged: what a side is thought to have does not count its copies, so by size it would be broadcast, lanes times over
+        return dealt.join(blocks.hint("merge"), ["block", "lane"]).mapInArrow(_match(k), "quid long, query_id long, vec_id long, score long")
 
     queries = rows.filter("asks")
     blocks, n = packed(queries, BLOCK)
@@ -217,7 +218,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     # the k-th best score over the seeds, where there are k: what every shard starts from. A held score is a
     # bound as well, from below or (then of no use, but true) the largest there is.
     first = _best(met(seeds, blocks, n), k).filter(F.col("rank") == k).select(F.col("quid").alias("uid"), F.col("score").alias("first"))
-    blocks, n = packed(queries.join(materialise(first, "topk-thresholds"), "uid", "left").withColumn("least", F.col("first")), BLOCK)
+    blocks, n = packed(queries.join(materialise(first, "topk-thresholds").hint("merge"), "uid", "left").withColumn("least", F.col("first")), BLOCK)
     shards, _ = packed(rows, SHARD)
     return _best(met(shards, blocks, n), k).select("query_id", "rank", "vec_id", "score")
 

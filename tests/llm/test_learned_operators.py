@@ -36,6 +36,28 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.filter("vec_id = 0"), every).count() == 0
 
 
+def test_topk_broadcasts_nothing_whatever_the_threshold(spark, monkeypatch):
+    """Blocks of queries go to as many lanes as there are partitions: a broadcast of them would grow with both."""
+    plans, written = [], topk.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def spied(df, name):
+        plans.append(plan(df))
+        return written(df, name)
+
+    monkeypatch.setattr(topk, "materialise", spied)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = topk.top_k(df, F.col("vec_id") % 20 == 0)
+        assert found.count() == 3 * topk.K
+        plans.append(plan(found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 3 and "SortMergeJoin" in plans[1] and not any("Broadcast" in p for p in plans)
+
+
 def test_topk_over_many_shards_and_large_numbers(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "BLOCK", 3)
