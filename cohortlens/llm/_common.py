@@ -162,4 +162,13 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def segments(data: bytes, mark: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """The data in parts of about ``size`` bytes, each but the last ending with ``mark``, so that nothing between marks is cut."""
+    at = 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= size else data.rfind(mark, at, at + size) + 1 or data.find(mark, at + size) + 1 or len(data)
+        yield data[at:end]
+        at = end
+
+
 Query = Callable[[SparkSession, str], DataFrame]
