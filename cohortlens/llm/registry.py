@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ._common import Query
 
-MODULES = ("token_counts", "language_id", "token_files", "substring_dedup", "mixing", "toxicity", "simhash", "packing", "topk", "quality", "source_divergence", "collocations")
+MODULES = ("token_counts", "language_id", "token_files", "substring_dedup", "mixing", "toxicity", "simhash", "packing", "topk", "quality", "private_data", "source_divergence", "collocations")
 
 
 def queries() -> dict[str, Query]:
