@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Query, gives_back, materialise, read, segments
+from ._common import Query, gives_back, materialise, read, segments, shuffle_partitions
 
 MAX_N, MIN_COUNT, COVER, TOP = 4, 30, 80, 2000
 UNKNOWN = "und"
 #: Most bits of a level's filter: 16 MB in every executor. Sixteen bits for each frequent n-gram are used up to that.
 FILTER_BITS, BITS_EACH, LEAST_BITS = 1 << 27, 16, 1 << 16
-#: Words of one block in a task, and n-grams that a task holds before it passes their counts on.
-BLOCK_BYTES, HELD = 1 << 21, 1 << 21
+#: Bytes of one block in a task, and n-grams that a task holds before it passes their counts on.
+BLOCK_BYTES, HELD = 1 << 20, 1 << 20
 #: A-Z become a-z; the marks [.,;:!?] and the bytes 0A-0D end a piece; a tab is a space.
 _BYTES = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,20 +68,24 @@ class Block:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
         self.h = hashes[x] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))
 
-    def level(self, n: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Where n-grams begin of which no (n - 1)-gram is known to be rare, and their hashes. ``filters``: of 1, 2, ... words."""
-        at, h = np.flatnonzero(self.x), self.h
-        code = np.zeros(len(self.x) + 1, np.uint64)
-        code[at] = h[at]
-        for k in range(2, n + 1):
-            alive = np.zeros(len(self.x) + 1, bool)
-            alive[at[_holds(filters[k - 2], code[at])]] = True
-            at = np.flatnonzero(alive[:-1] & alive[1:])
-            at = at[self.x[at + k - 1] > 0] if k == 2 else at
-            longer = np.zeros_like(code)
-            longer[at] = _mixed(code[at], h[at + k - 1])
-            code = longer
-        return at, code[at]
+    def levels(self, max_n: int, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to max_n words: where n-grams begin that may be frequent, and their hashes.
+
+        ``filters``: of 1, 2, ... words. Of n-grams without a filter both (n - 1)-grams pass theirs.
+        """
+        at = np.flatnonzero(self.x)
+        code = self.h[at]
+        for n in range(1, max_n + 1):
+            if n > 1:
+                whole = np.zeros(len(self.x) + 1, np.uint64)
+                alive = np.zeros(len(self.x) + 1, bool)
+                whole[at], alive[at] = code, True
+                at = np.flatnonzero(alive[:-1] & alive[1:])
+                code = _mixed(whole[at], self.h[at + n - 1])
+            if n <= len(filters):
+                passes = _holds(filters[n - 1], code)
+                at, code = at[passes], code[passes]
+            yield at, code
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +134,8 @@ def frequent_filter(docs: DataFrame, n: int, filters: list[np.ndarray], min_coun
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for block in _blocks(batches):
-            u, c = np.unique(block.level(n, shared.value)[1], return_counts=True)
+            *_, (_, codes) = block.levels(n, shared.value)
+            u, c = np.unique(codes, return_counts=True)
             held.append(u)
             many.append(c)
             total += len(u)
@@ -169,15 +174,12 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            x, known = block.x, shared.value
+            x = block.x
             langs, sizes, phrases, counts = [], [0], [""], [int((x > 0).sum())]
             at = np.flatnonzero(x)
             code = np.zeros(len(x) + 1, np.int64)
             code[at] = x[at]
-            for n in range(1, max_n + 1):
-                may = block.level(n, known)[0]
-                if n == 1 and known:
-                    may = may[_holds(known[0], block.h[may])]
+            for n, (may, _) in enumerate(block.levels(max_n, shared.value), 1):
                 # equal words have equal numbers, so phrases are told apart as such and not by a hash
                 pair = code[may] * len(block.words) + x[may + n - 1] if n > 1 else code[may]
                 u, first, of, c = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
@@ -212,8 +214,10 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT
     # decimals, as the products may pass 64 bits
     covered = F.expr(f"cast(longer as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {cover}")
     best = best.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | ~covered)
-    order = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the first of each lane, then the first of those: no task sorts all phrases of a language
+    lane = F.pmod(F.xxhash64("phrase"), F.lit(shuffle_partitions(docs.sparkSession)))
+    first = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.desc("s.score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
+    ranked = first(first(best.withColumn("lane", lane), "lane"))
     totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "s.l", "s.r", "n", "s.score")
 

@@ -113,7 +113,7 @@ def test_collocations_by_hand(spark, monkeypatch):
     rows += [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \t ", "en", "s"), (4, "...;!", "xx", "s")] + [(9, "new york city hall is new york", "en", "s")] * 8
     names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     df = spark.createDataFrame([(*r, "a", "k", 1.0) for r in rows], ROWS + ", phrase string, words string, h double")
-    for block, held, bits in ((1 << 21, 1 << 21, 1 << 27), (60, 10, 1 << 16)):
+    for block, held, bits in ((1 << 20, 1 << 20, 1 << 27), (60, 10, 1 << 16)):
         monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
         monkeypatch.setattr(collocations, "HELD", held)
         monkeypatch.setattr(collocations, "FILTER_BITS", bits)
