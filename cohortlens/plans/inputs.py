@@ -301,9 +301,14 @@ def truncate_words(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "documents").select("doc_id", T.first_words(F.col("text"), 120).alias("head"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?s)(.*?[.!?]+)(\s+|$)', 1)) AS n_sentences FROM documents")
+@query(
+    r"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?s).+?[.!?]+(?:[ \t\n\x0B\f\r]+|\z)|.+'), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]'))) AS n_sentences,
+  md5(coalesce(text, '')) AS joined FROM documents"""
+)
 def sentence_split(s: SparkSession, d: str) -> DataFrame:
-    return V.table(s, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    """The number of sentences, and the digest of the text that joining them gives: that of the text itself."""
+    rows = V.table(s, d, "documents")
+    return rows.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"), F.md5(F.array_join(T.sentence_pieces(F.col("text")), "")).alias("joined"))
 
 
 @query(r"SELECT doc_id, round(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text), 6) AS ascii_share FROM documents WHERE length(text) > 0")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import protocol as P
-from ..operators import calls as C
 from ..operators import judging as J
 from ..operators import statistics as S
 from ..operators import taxonomy
 from ..sources import views as V
+from . import scripted as M
 from . import treatment as T
 
 QUERIES, ORACLE = {}, {}
@@ -59,7 +59,7 @@ def sentinel_slice(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "documents").select("doc_id", F.md5(P.between(marked, P.RESPONSE_START, P.RESPONSE_END)).alias("slice_md5"))
 
 
-RULES = C.MockBackend.RULES + ((("the", "and"), "english words"), (("der", "und"), "german words"))
+RULES = M.RULES + ((("the", "and"), "english words"), (("der", "und"), "german words"))
 _CASE = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(coalesce(text, '')), '" + w.replace("'", "''") + "')" for w in words) + f" THEN '{label}'" for words, label in RULES) + " ELSE 'other' END"
 
 
@@ -112,10 +112,10 @@ CONDITIONS = {"zero_context": "Propose axes.", "literature": "Propose axes from
 
 
 def proposals(s: SparkSession) -> DataFrame:
-    return J.propose_axes(CONDITIONS, "mock:helper", C.MOCK, s, SEED)
+    return J.propose_axes(CONDITIONS, "mock:helper", M.MOCK, s, SEED)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{q}', 'zero_context,literature,grounded')" for a, q, *_ in C.MOCK_AXES) + ") AS t(axis_id, question, sources)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{q}', 'zero_context,literature,grounded')" for a, q, *_ in M.MOCK_AXES) + ") AS t(axis_id, question, sources)")
 def union_axes(s: SparkSession, d: str) -> DataFrame:
     return J.union_axes(proposals(s)).select("axis_id", "question", F.array_join("sources", ",").alias("sources"))
 
@@ -138,8 +138,8 @@ def study_prompts(s: SparkSession, d: str) -> DataFrame:
 
 def study_verdicts(s: SparkSession, d: str, world: str) -> DataFrame:
     axes = [(r["axis_id"], r["question"], r["rubric"]) for r in J.union_axes(proposals(s)).collect()]
-    answers = J.collect_responses(study_prompts(s, d), f"mock:target:{world}", C.MOCK, SAMPLES, SEED)
-    return J.judge(answers, axes, list(JUDGES), C.MOCK, seed=SEED)
+    answers = J.collect_responses(study_prompts(s, d), f"mock:target:{world}", M.MOCK, SAMPLES, SEED)
+    return J.judge(answers, axes, list(JUDGES), M.MOCK, seed=SEED)
 
 
 def study_axes(s: SparkSession, d: str, world: str) -> DataFrame:
@@ -149,16 +149,16 @@ def study_axes(s: SparkSession, d: str, world: str) -> DataFrame:
     return S.axis_rates(m).join(tested, "axis_id")
 
 
-_CUES = {side: " + ".join("CAST(contains(lower(t), '" + c.replace("'", "''") + "') AS INT)" for c in cues) for side, cues in (("target", C.TARGET_CUES), ("baseline", C.BASELINE_CUES))}
-_AXIS_IDS = tuple(a for a, *_ in C.MOCK_AXES)
+_CUES = {side: " + ".join("CAST(contains(lower(t), '" + c.replace("'", "''") + "') AS INT)" for c in cues) for side, cues in (("target", M.TARGET_CUES), ("baseline", M.BASELINE_CUES))}
+_AXIS_IDS = tuple(a for a, *_ in M.MOCK_AXES)
 
 
 def study_sql(world: str) -> str:
     """The study as one statement: planted coins, judges' flips, votes, rates and permutation tests."""
     seed = "('0x' || substr(md5({key}), 1, 7))::BIGINT"
-    rate = ", ".join(f"('{a}', '{C.bound(hi)}', '{C.bound(lo)}')" for a, (hi, lo) in C.RATES[world].items())
+    rate = ", ".join(f"('{a}', '{M.bound(hi)}', '{M.bound(lo)}')" for a, (hi, lo) in M.RATES[world].items())
     sep = "chr(31)"
-    judged = ", ".join(f"('{j}', '{C.bound(C.NOISY_FLIPS) if j.endswith('noisy') else '0'}')" for j in JUDGES)
+    judged = ", ".join(f"('{j}', '{M.bound(M.NOISY_FLIPS) if j.endswith('noisy') else '0'}')" for j in JUDGES)
     head = V.PROMPTS + f""",
 asked AS (SELECT prompt_id, cohort AS community, k, prompt_id || '#' || k AS response_id, CASE WHEN cohort = 'target' THEN 'so it''s giving tarot night. ' ELSE 'after barstool with the wifey. ' END || coalesce(text, '') AS t,
   {seed.format(key=f"concat_ws({sep}, '{SEED}', prompt_id, CAST(k AS VARCHAR))")} AS seed FROM prompts, range({SAMPLES}) AS x(k)),
@@ -196,4 +196,4 @@ SELECT 'biased' AS run, prompts_target, prompts_baseline, (SELECT count(*) FROM
 def run_summary(s: SparkSession, d: str) -> DataFrame:
     from ..operators import reports as R
 
-    return R.run_summary("biased", study_prompts(s, d), study_axes(s, d, "biased"), J.collect_responses(study_prompts(s, d), "mock:target:biased", C.MOCK, SAMPLES, SEED))
+    return R.run_summary("biased", study_prompts(s, d), study_axes(s, d, "biased"), J.collect_responses(study_prompts(s, d), "mock:target:biased", M.MOCK, SAMPLES, SEED))
