@@ -1,84 +1,12 @@
-"""Two-sample tests on vectors: classifiers and kernels."""
+"""A classifier of behaviour and a projection, by Spark's own models."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.information import wilson
-from .sampling import hash_rank, round_robin_folds
-
-#: Rows up to which a test that needs all vectors in each task may run; beyond it, sample first.
-MOST_ROWS = 20_000
-
-
-def logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> np.ndarray:
-    """L2-penalised logistic regression with a free intercept, by Newton steps; the last weight is the intercept."""
-    a = np.hstack((x, np.ones((len(x), 1))))
-    ridge = np.append(np.full(x.shape[1], 1 / c), 1e-9)
-    w = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
-        d = np.linalg.solve(h, g)
-        w -= d
-        if np.abs(d).max() < 1e-8:
-            break
-    return w
-
-
-def _held_out_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
-    hits = 0
-    for k in np.unique(fold):
-        train, test = fold != k, fold == k
-        if len(np.unique(y[train])) < 2:
-            hits += (y[test] == y[train][0]).sum() if train.any() else 0
-            continue
-        mean, std = x[train].mean(0), x[train].std(0)
-        z = (x - mean) / np.where(std > 0, std, 1)
-        w = logistic_fit(z[train], y[train])
-        hits += ((z[test] @ w[:-1] + w[-1] > 0) == (y[test] > 0)).sum()
-    return hits / len(y)
-
-
-def _local(vectors: DataFrame, columns: list[str]) -> pd.DataFrame:
-    n = vectors.count()
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} rows: this test takes at most {MOST_ROWS}; sample authors first")
-    return vectors.select(*columns).toPandas()
-
-
-def c2st_linear(vectors: DataFrame, folds: int = 5, permutations: int = 20, seed: int = 0) -> DataFrame:
-    """Pooled held-out accuracy of a linear classifier over author-grouped folds, and its p under labels shuffled by author.
-
-    Each permutation is a task of its own; the vectors (their number is checked) are broadcast.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.join(round_robin_folds(vectors, folds, seed), "author_id")
-    pdf = _local(rows, ["vec_id", "side", "author_id", "v", "fold"]).sort_values("vec_id")
-    x, fold = np.array(pdf["v"].tolist()), pdf["fold"].to_numpy()
-    y = (pdf["side"] == "target").to_numpy(float)
-    author, first = np.unique(pdf["author_id"], return_index=True)
-    place = np.searchsorted(author, pdf["author_id"])
-    data = spark.sparkContext.broadcast((x, y, fold, place, y[first]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, fold, place, own = data.value
-        for b in batches:
-            out = [_held_out_accuracy(x, y if k < 0 else np.random.Generator(np.random.Philox(key=[seed, int(k)])).permutation(own)[place], fold) for k in b["perm"]]
-            yield pd.DataFrame({"perm": b["perm"], "accuracy": out})
-
-    perms = spark.range(-1, permutations, numPartitions=min(permutations + 1, 64)).withColumnRenamed("id", "perm")
-    acc = perms.mapInPandas(run, "perm long, accuracy double")
-    real = F.max(F.when(F.col("perm") < 0, F.col("accuracy")))
-    out = acc.agg(real.alias("accuracy"), F.collect_list(F.when(F.col("perm") >= 0, F.col("accuracy"))).alias("null"))
-    exceed = F.size(F.filter("null", lambda a: a >= F.col("accuracy")))
-    return out.select("accuracy", ((1 + exceed) / (1 + permutations)).alias("p_value"), F.lit(float(max(y.mean(), 1 - y.mean()))).alias("chance"), F.lit(len(y)).cast("long").alias("n"))
+from .sampling import hash_rank
 
 
 def c2st_behavior(features: DataFrame, label: str, columns: list[str], test: float = 0.3, seed: int = 0) -> DataFrame:
@@ -109,54 +37,6 @@ def c2st_behavior(features: DataFrame, label: str, columns: list[str], test: flo
     return out.select(F.lit(dropped).cast("long").alias("n_dropped"), "n", (F.col("k") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), majority.alias("majority"), (low > majority).alias("above_chance"))
 
 
-def mmd_fuse(vectors: DataFrame, permutations: int = 500, seed: int = 0) -> DataFrame:
-    """MMD-FUSE: the soft maximum over kernels of normalised MMD statistics, against label permutations.
-
-    Gaussian and Laplace kernels, ten bandwidths each between half the 5 % and twice the 95 % quantile of the
-    pairwise distances. Each task takes a range of permutations and holds one kernel matrix at a time.
-    """
-    spark = vectors.sparkSession
-    pdf = _local(vectors, ["vec_id", "side", "v"]).sort_values("vec_id")
-    if len(pdf) > 4000:
-        raise ValueError("kernel matrices of over 4000 rows; sample first")
-    x, t = np.array(pdf["v"].tolist()), (pdf["side"] == "target").to_numpy()
-    data = spark.sparkContext.broadcast((x, t))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, t = data.value
-        l2 = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T))
-        l1 = np.zeros_like(l2)
-        for j in range(x.shape[1]):
-            l1 += np.abs(x[:, j][:, None] - x[:, j][None])
-        m, n = int(t.sum()), int((~t).sum())
-        widths = []
-        for dist, f in ((l2, lambda d, b: np.exp(-((d / b) ** 2) / 2)), (l1, lambda d, b: np.exp(-d / b))):
-            q = dist[np.triu_indices(len(x), 1)]
-            low, high = 0.5 * np.quantile(q, 0.05), 2 * np.quantile(q, 0.95)
-            widths += [(dist, f, b) for b in np.geomspace(max(low, 1e-12), max(high, 1e-12), 10)]
-        lam = np.sqrt(min(m, n) * (min(m, n) - 1))
-        for b in batches:
-            labels = np.array([t if p < 0 else np.random.Generator(np.random.Philox(key=[seed, int(p)])).permutation(t) for p in b["perm"]], float).reshape(-1, len(x)).T
-            values = []
-            for dist, f, width in widths:  # one kernel matrix at a time
-                k = f(dist, width)
-                np.fill_diagonal(k, 0)
-                rows = k.sum(1)
-                within = (labels * (k @ labels)).sum(0)
-                touched = rows @ labels
-                # unbiased: the within-side sums have m (m - 1) and n (n - 1) terms
-                s = within / (m * (m - 1)) + (rows.sum() - 2 * touched + within) / (n * (n - 1)) - 2 * (touched - within) / (m * n)
-                values.append(lam * s / np.sqrt((k * k).sum() / (len(x) * (len(x) - 1))))
-            v = np.array(values)
-            top = v.max(0)
-            yield pd.DataFrame({"perm": b["perm"], "stat": top + np.log(np.exp(v - top).mean(0))})
-
-    perms = spark.range(-1, permutations, numPartitions=8).withColumnRenamed("id", "perm")
-    st = perms.mapInPandas(run, "perm long, stat double")
-    out = st.agg(F.max(F.when(F.col("perm") < 0, F.col("stat"))).alias("statistic"), F.collect_list(F.when(F.col("perm") >= 0, F.col("stat"))).alias("null"))
-    return out.select("statistic", ((1 + F.size(F.filter("null", lambda a: a >= F.col("statistic")))) / (1 + permutations)).alias("p_value"))
-
-
 def pca2d(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
     """Joint projection on two principal components (their signs are arbitrary)."""
     from pyspark.ml.feature import PCA, StandardScaler
