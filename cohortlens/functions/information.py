@@ -50,3 +50,46 @@ def fisher_combined_p(ps: Column) -> Column:
 def evidence(p: Column) -> Column:
     """-log10 of p, at most four."""
     return -F.log10(F.greatest(p, F.lit(1e-4)))
+
+
+#: Coefficients of the published rational approximations to the normal quantile, centre and tails; relative error 1.2e-9.
+CENTRE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+TAIL_BELOW = 0.02425
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile as SQL text, for Spark and DuckDB alike; p between 0 and 1, both excluded."""
+
+    def horner(coefficients: tuple[float, ...], x: str) -> str:
+        out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+        return out
+
+    ratio = lambda table, x: f"{horner(table[0], x)} / {horner(table[1], x)}"
+    tail = lambda q: ratio(TAIL, f"sqrt(-2 * ln({q}))")
+    mid, high = f"({p} - 0.5)", f"(1 - {p})"
+    return f"CASE WHEN {p} < {TAIL_BELOW} THEN {tail(p)} WHEN {high} < {TAIL_BELOW} THEN -({tail(high)}) ELSE {mid} * {ratio(CENTRE, f'({mid} * {mid})')} END"
+
+
+def normal_quantile(p: Column) -> Column:
+    """The z below which a standard normal falls with probability p."""
+    def horner(coefficients: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    def tail(q: Column) -> Column:
+        x = F.sqrt(-2 * F.log(q))
+        return horner(TAIL[0], x) / horner(TAIL[1], x)
+
+    mid = p - 0.5
+    return F.when(p < TAIL_BELOW, tail(p)).when(1 - p < TAIL_BELOW, -tail(1 - p)).otherwise(mid * horner(CENTRE[0], mid * mid) / horner(CENTRE[1], mid * mid))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.information import normal_quantile
 from ..functions.text import word_tokens
+from .permutation import draws, hashes
+from .ranking import places
 
 #: Total of the published word-count reference that the mixed prior is scaled to.
 REFERENCE_TOTAL = 1_161_192
@@ -122,3 +129,70 @@ def strongest_clean_constant(df: DataFrame, register: DataFrame, low: float = LE
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), span, halve)["low"]
     own = F.when(~clean(F.lit(low)), F.lit(low)).when(clean(F.lit(high)), F.lit(high)).otherwise(found)
     return rows.agg(F.coalesce(F.min(own), F.lit(high)).alias("c"))
+
+
+# --- nulls: words scored again under shuffled authors ----------------------------------------------------------
+
+
+def author_words(prompts: DataFrame) -> DataFrame:
+    """(author_id, word, n)."""
+    words = prompts.select("author_id", F.explode(word_tokens(F.col("text"))).alias("word"))
+    return words.groupBy("author_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shuffled_counts(prompts: DataFrame, permutations: int, seed: int, least: int = 5) -> DataFrame:
+    """(perm, word, y_t, y_b) with whole authors dealt to the sides anew, by the draws of ``permutation``.
+
+    An author's draws are the bits of one number, so the counts of author and word are joined
+    once and added up by word for all permutations together; the vocabulary may be of any size.
+    """
+    if permutations > 62:
+        raise ValueError("at most 62 permutations, the bits of a number")
+    units = prompts.select("author_id", "cohort").distinct()
+    drawn = draws(units, "author_id", F.col("cohort") == "target", permutations, seed)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 1 << np.arange(permutations, dtype=np.int64)
+        for b in batches:
+            column = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            label = drawn.labels(column("x"), column("y"), b.column("author_id").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("author_id"), pa.array(label.astype(np.int64) @ place)], ["author_id", "bits"])
+
+    x, y = hashes(F.col("author_id"))
+    marked = units.select(F.col("author_id").cast("string").alias("author_id"), x.alias("x"), y.alias("y")).mapInArrow(bits, "author_id string, bits long")
+    counts = author_words(prompts).join(marked, "author_id")
+    on = lambda p: F.sum(F.when(F.shiftright("bits", p).bitwiseAND(1) > 0, F.col("n")).otherwise(0))
+    words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.array(*(on(p) for p in range(permutations))).alias("t")).filter(F.col("n") >= least)
+    each = words.select("word", "n", F.posexplode("t").alias("perm", "y_t"))
+    return each.select("perm", "word", "y_t", (F.col("n") - F.col("y_t")).alias("y_b"))
+
+
+def rescored(counts: DataFrame, reference: DataFrame, c: float, w: float, strength: float, fixed_w: float, k: int = 20) -> DataFrame:
+    """(mode, perm, word, z) of shuffled counts under both priors: ``mixed``, calibrated anew in each permutation, and ``fixed``."""
+    rows = mixed_prior(counts, reference, w)
+    top = lambda o: F.row_number().over(Window.partitionBy("perm").orderBy(F.desc(o), "word"))
+    # the first k by each count, found apart so that each is cut before it is exchanged
+    first = [rows.filter(F.col(o) > 0).select("perm", "word", top(o).alias("r")).filter(F.col("r") <= k).select("perm", "word") for o in ("prior", "y_t", "y_b")]
+    common = first[0].join(first[1], ["perm", "word"]).join(first[2], ["perm", "word"])
+    chosen = common.union(rows.filter(F.col("word").isin(*STOPWORDS)).select("perm", "word")).distinct()
+    # at most k + 27 words a permutation
+    marked = rows.join(F.broadcast(chosen.withColumn("_in", F.lit(True))), ["perm", "word"], "left")
+    s = lambda col: F.coalesce(F.sum(F.when(F.col("_in"), F.col(col))), F.sum(col))
+    weight = F.greatest(s("prior"), F.lit(FLOOR))
+    sums = marked.groupBy("perm").agg(
+        F.sum("y_t").alias("_n_t"), F.sum("y_b").alias("_n_b"), F.sum("prior").alias("_total"),
+        (weight / F.greatest(s("y_t"), F.lit(1.0))).alias("r_t"), (weight / F.greatest(s("y_b"), F.lit(1.0))).alias("r_b"),
+    )
+    mixed = rows.join(F.broadcast(sums), "perm").select(F.lit("mixed").alias("mode"), "perm", "word", _z_at(F.lit(c)).alias("z"))
+    alphas = fixed_prior(counts.filter("perm = 0"), strength, fixed_w, reference).select("word", "alpha")  # y_t + y_b is the same in all
+    flat = counts.join(alphas, "word")
+    of_all = flat.groupBy("perm").agg(F.sum("y_t").alias("_n_t"), F.sum("y_b").alias("_n_b"), F.sum("alpha").alias("_s"))
+    odds = lambda y, n: F.log((F.col(y) + F.col("alpha")) / (F.col(n) + F.col("_s") - F.col(y) - F.col("alpha")))
+    z = (odds("y_t", "_n_t") - odds("y_b", "_n_b")) / F.sqrt(1 / (F.col("y_t") + F.col("alpha")) + 1 / (F.col("y_b") + F.col("alpha")))
+    return mixed.union(flat.join(F.broadcast(of_all), "perm").select(F.lit("fixed").alias("mode"), "perm", "word", z.alias("z")))
+
+
+def qq_points(scored: DataFrame) -> DataFrame:
+    """(mode, place, quantile, z): each mode's pooled scores in order beside the normal quantiles of their places."""
+    ranked = places(scored, "z", ["perm", "word"], ["mode"])
+    return ranked.select("mode", "place", normal_quantile((F.col("place") - 0.5) / F.col("all_n")).alias("quantile"), "z")

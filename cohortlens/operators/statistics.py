@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import information as I
 from .permutation import permuted_sums
+from .ranking import midranks
 
 TOLERANCE = 1e-12
 
@@ -102,7 +103,10 @@ def permutation_jsd(units: DataFrame, unit: str, categories: list, permutations:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by: list[str] | None = None, tie: str = "axis_id") -> DataFrame:
-    """Adds q_value and significant. A null or NaN p counts as 1."""
+    """Adds q_value and significant. A null or NaN p counts as 1.
+
+    For tables of axes or strata, whose groups a task can hold; ``ranking.false_discovery`` is for any size.
+    """
     by = by or []
     filled = F.coalesce(F.nanvl(F.col(p), F.lit(1.0)), F.lit(1.0))
     order = Window.partitionBy(*by).orderBy("_p", tie)
@@ -197,13 +201,11 @@ def two_sided_normal_p(z: Column) -> Column:
 
 def mann_whitney(df: DataFrame, by: list[str], value: str = "value", side: str = "side") -> DataFrame:
     """Per group U of the target, the rank-biserial effect (below zero: the target is higher) and the tie term of the normal law."""
-    ties = Window.partitionBy(*by, value)
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = df.withColumns({"_t": F.count(F.lit(1)).over(ties), "_r": F.rank().over(order)}).withColumn("midrank", F.col("_r") + (F.col("_t") - 1) / 2)
     is_t = F.col(side) == "target"
+    rows = midranks(df, value, by, [F.count_if(is_t).alias("_nt")])
     out = rows.groupBy(*by).agg(
-        F.count_if(is_t).alias("n_target"), F.count_if(~is_t).alias("n_baseline"), F.sum(F.when(is_t, F.col("midrank"))).alias("_sum"),
-        (F.sum(F.col("_t") * F.col("_t") - 1)).alias("tie_term"),
+        F.sum("_nt").alias("n_target"), F.sum(F.col("n") - F.col("_nt")).alias("n_baseline"), F.sum(F.col("_nt") * F.col("midrank")).alias("_sum"),
+        F.sum(F.col("n") * (F.col("n") * F.col("n") - 1)).alias("tie_term"),
     )
     u = F.col("_sum") - F.col("n_target") * (F.col("n_target") + 1) / 2
     return out.withColumn("u_target", u).withColumn("rank_biserial", 1 - 2 * F.col("u_target") / F.nullif(F.col("n_target") * F.col("n_baseline"), F.lit(0))).drop("_sum")

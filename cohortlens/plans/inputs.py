@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import information as I
 from ..functions import text as T
 from ..operators import lexical as L
+from ..operators import ranking as K
 from ..operators import relational as R
 from ..operators import sampling as P
 from ..operators import statistics as S
@@ -109,7 +110,7 @@ def word_significance(s: SparkSession, d: str) -> DataFrame:
 @query()
 def word_fdr(s: SparkSession, d: str) -> DataFrame:
     rows = L.marked_words(prior(s, d), 0.1).withColumn("p_value", S.two_sided_normal_p(F.col("z")))
-    return S.benjamini_hochberg(rows, tie="word").filter("significant").select("word", F.round("z", 6).alias("z"), "q_value")
+    return K.false_discovery(rows).filter("significant").select("word", F.round("z", 6).alias("z"), "q_value")
 
 
 #: 24 constants in equal ratios over the range of the search.
@@ -129,7 +130,7 @@ def constant_sweep(s: SparkSession, d: str) -> DataFrame:
 def constant_sweep_fdr(s: SparkSession, d: str) -> DataFrame:
     """The sweep by the other rule: words that stay significant under false-discovery control at each constant."""
     rows = L.constant_sweep(prior(s, d), CONSTANTS).withColumn("p_value", S.two_sided_normal_p(F.col("z")))
-    return S.benjamini_hochberg(rows, by=["c"], tie="word").groupBy("c").agg(F.count_if("significant").alias("n_fdr"))
+    return K.false_discovery(rows, by=["c"]).groupBy("c").agg(F.count_if("significant").alias("n_fdr"))
 
 
 @query(CAL + f""",
@@ -220,8 +221,7 @@ def usage_fdr(s: SparkSession, d: str) -> DataFrame:
 @query(V.USAGE + ", a AS (SELECT side, scale, author_id, avg(answer) AS value FROM usage WHERE answer > 0 GROUP BY ALL) SELECT scale, author_id, side, rank() OVER (PARTITION BY scale ORDER BY value) + (count(*) OVER (PARTITION BY scale, value) - 1) / 2 AS midrank FROM a")
 def midrank(s: SparkSession, d: str) -> DataFrame:
     a = R.author_means(V.usage(s, d), ["side", "scale"])
-    r = F.rank().over(Window.partitionBy("scale").orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("scale", "value")) - 1) / 2
-    return a.select("scale", "author_id", "side", r.alias("midrank"))
+    return a.join(K.midranks(a, "value", ["scale"]), ["scale", "value"]).select("scale", "author_id", "side", "midrank")
 
 
 # --- sampling ------------------------------------------------------------------------------------------------
@@ -403,10 +403,7 @@ def similarity_summary(s: SparkSession, d: str) -> DataFrame:
 @query(V.VECTORS + ", sc AS (SELECT vec_id, side = 'target' AS y, round(v[1], 9) AS s FROM vectors), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS mr FROM sc) SELECT round((sum(mr) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc FROM r")
 def roc_auc(s: SparkSession, d: str) -> DataFrame:
     sc = V.vectors(s, d).select((F.col("side") == "target").alias("y"), F.round(F.col("v")[0], 9).alias("s"))
-    # ranks by counts of equal scores, then one running sum over them
-    n = sc.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("p"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    r = n.withColumn("mr", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    r = K.midranks(sc, "s", sums=[F.count_if("y").alias("p")]).withColumnRenamed("midrank", "mr")
     a = r.agg(F.sum(F.col("mr") * F.col("p")).alias("rs"), F.sum("p").alias("p"), (F.sum("n") - F.sum("p")).alias("q"))
     return a.select(F.round((F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 
