@@ -112,6 +112,21 @@ def test_greedy_pack_equals_plain_python(spark, units):
     assert {r["author_id"] for r in etl.eligible_authors(df, 2).collect()} == {"a"}
 
 
+def test_greedy_pack_of_one_author_over_many_blocks(spark, monkeypatch):
+    """Blocks of 40 to 50 posts, composed by doubling, make the chunks that one pass makes."""
+    rng = random.Random(8)
+    posts = {a: [f"p{i} " + " ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 0, 1, 4, 11, 38, 39, 40, 60]))) for i in range(n)] for a, n in (("big", 3000), ("edge", 150), ("small", 7), ("one", 1))}
+    df = spark.createDataFrame([(a, i, p) for a, ps in posts.items() for i, p in enumerate(ps)], "author_id string, place int, text string").repartition(7)
+    want = {a: packed(ps, 40, 8, None) for a, ps in posts.items()}
+    for block in (40, 50, 4096):
+        monkeypatch.setattr(etl, "BLOCK", block)
+        got = {}
+        for r in sorted(etl.greedy_pack(df, 40, 8).collect(), key=lambda r: r["chunk"]):
+            got.setdefault(r["author_id"], []).append(r["text"])
+        assert got == {a: c for a, c in want.items() if c}
+    assert etl.greedy_pack(df.limit(0)).count() == 0
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([("a \\u00e9 b\\\\n c & amp ; d &lt;",), (None,)], "t string")
     assert [r[0] for r in df.select(etl.cleaned_post(F.col("t"))).collect()] == ["a b c & d <", ""]
