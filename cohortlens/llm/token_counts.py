@@ -12,11 +12,13 @@ BUCKETS by a hash of doc_id, and a batch reads the buckets of its own documents
 alone; after COMPACT batches their rows are summed into one (``batch=<id>/base``),
 so that a bucket is at most COMPACT + 1 pieces however many batches there were.
 
-A batch is committed by the last thing written, its record in ``commits``. The
-record's name is its place in the order and is created exclusively, so of two
-writers that start from the same state one commits and the other begins again
-from the new state. An interrupted batch has no record and is written anew; one
-that is replayed changes nothing.
+A batch is committed by the last thing written, its record in ``commits``. A record
+is written under a hidden name and then given its own, its place in the order, which
+is done at once and only if the name is free. So a record is whole or not there, and
+of two writers that start from the same state one commits and the other begins again
+from the new state. An interrupted batch has no record and is written anew; one that
+is replayed changes nothing. File systems that may rename onto a file (object stores)
+are refused.
 
 Defined cases
 - null source or lang: a group of its own. Null text: zero tokens.
@@ -44,6 +46,8 @@ from ._common import Query, file_system, hadoop_path, materialise, read, shared_
 GROUP = ["source", "lang", "tokenizer"]
 ROWS = "doc_id long, tokenizer string, source string, lang string, n_tokens long, sign int"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Schemes of file systems whose rename fails if the target exists.
+RENAMES = ("hdfs", "viewfs", "abfs", "abfss")
 #: Parts of the ledger, and batches after which their rows are summed.
 BUCKETS, COMPACT = 16, 8
 #: Tokenizer versions that SQL can express: white-space words, and letter or digit runs and single marks.
@@ -90,17 +94,28 @@ class Rollup:
         return out
 
     def _publish(self, n: int, record: Commit) -> bool:
-        """Writes the n-th record; False if there is one."""
-        path = hadoop_path(self.spark, f"{self.folder}/commits/{n:012d}.json")
+        """Puts the n-th record in place, whole; False if there is one. A writer that dies before leaves a hidden file that nobody reads."""
+        fs, target = file_system(self.spark, self.folder), hadoop_path(self.spark, f"{self.folder}/commits/{n:012d}.json")
+        scheme = fs.getUri().getScheme()
+        if scheme not in RENAMES and scheme != "file":
+            raise ValueError(f"commits need a file system that never renames onto an existing file ({', '.join(RENAMES)}, file), not {scheme}")
+        part = hadoop_path(self.spark, f"{self.folder}/commits/_{n:012d}.{uuid4().hex}")
+        stream = fs.create(part, False)
+        stream.write(bytearray(json.dumps(asdict(record)).encode()))
+        stream.close()
         try:
-            stream = file_system(self.spark, self.folder).create(path, False)
+            if scheme != "file":
+                return bool(fs.rename(part, target))
+            # a local rename would replace a record; a second name for a file is given only if it is free
+            local = lambda x: self.spark._jvm.java.nio.file.Paths.get(fs.makeQualified(x).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.spark._jvm.String, 0))
+            self.spark._jvm.java.nio.file.Files.createLink(local(target), local(part))
+            return True
         except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
+            if "AlreadyExists" in str(e.java_exception):
                 return False
             raise
-        stream.write(bytearray(json.dumps(asdict(record)).encode()))
-        stream.close()
-        return True
+        finally:
+            fs.delete(part, False)
 
     def _ledger(self, last: Commit | None, buckets: list[int] | None) -> DataFrame:
         """Signed rows that stand in the ledger, of all buckets or of some."""

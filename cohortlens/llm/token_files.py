@@ -68,7 +68,14 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path as tasks open it; Hadoop's names of S3 are Arrow's one."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        path = f"s3://{rest}"
+    try:
+        return pafs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files can't be kept under {path}: {e}") from e
 
 
 class Writer:

@@ -47,9 +47,7 @@ BUCKETS, RANK, LEAST = 1 << 18, 4, 3
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 EPOCHS, BATCH, RATE, L1 = 16, 128, 0.3, 0.03
 #: Of the factors: their spread at the start, step and shrinkage; and the number of terms up to which pairs count in full.
-SPREAD, PAIR_RATE, L2, LENGTH = 0.05, 1.0, 0.04, 32
-#: Factors that have all shrunk below this can no longer grow.
-IDLE = 1e-6
+SPREAD, PAIR_RATE, L2, LENGTH = 0.1, 1.0, 0.003, 32
 #: Length of the word beginnings that are terms too.
 PREFIX = 5
 THRESHOLD = 0.3
@@ -130,7 +128,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7,
             x = np.concatenate([flat[begin[i] : begin[i + 1]] for i in pick])
             row = np.repeat(np.arange(k), size[pick])
             logit = bias + np.bincount(row, w[x], k)
-            if rank and np.abs(v).max() > IDLE:
+            if rank:
                 s = np.stack([np.bincount(row, f[x], k) for f in v]) - (v @ p)[:, None]
                 norm = (v * v).sum(0)
                 logit += 0.5 * scale[pick] * ((s * s).sum(0) - np.bincount(row, (norm * off)[x], k) - norm @ square)
@@ -140,7 +138,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7,
             step = RATE / np.sqrt(gw)
             moved = w - step * dw
             w = np.where(count > 0, np.sign(moved) * np.maximum(np.abs(moved) - step * L1 * count, 0), w)
-            if rank and np.abs(v).max() > IDLE:
+            if rank:
                 g2 = g * scale[pick]
                 each, whole, total = np.bincount(x, g2[row], t), s @ g2, g2.sum()
                 for f in range(rank):

@@ -131,6 +131,19 @@ def test_toxicity_held_out_accuracy_and_edge_cases(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_pairs_count_on_documents(spark):
+    """The pair terms of the documents' own model are not negligible: they move scores, and without them the model ranks held-out rows no better."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = docs.join(labels.filter("toxic IS NOT NULL"), "doc_id").filter(toxicity.held_out()).select("text", "toxic").collect()
+    rows, y = [toxicity.terms(r["text"]) for r in texts], np.array([r["toxic"] for r in texts])
+    pairs = model.pairs(rows)
+    assert np.abs(pairs).max() > 0.5 and np.abs(model.v).max() > 0.01
+    whole, alone = model.logits(rows), model.logits(rows) - pairs
+    auc = lambda s: (s[y > 0][:, None] > s[y == 0][None]).mean() + 0.5 * (s[y > 0][:, None] == s[y == 0][None]).mean()
+    assert auc(whole) > 0.97 and auc(whole) >= auc(alone) - 0.005
+
+
 def test_language_id(spark):
     docs = spark.createDataFrame([(i, "the and of house " * 5, "en") for i in range(20)] + [(i, "der und das haus " * 5, "de") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)], "doc_id long, text string, lang string")
     page = lambda lang, body: f'<html lang="{lang}"><body><script>der der der</script><p>{body}</p></body></html>' if lang else f"<p>{body}</p>"

@@ -222,6 +222,45 @@ def test_interrupted_batch_is_written_anew(spark, monkeypatch):
     assert r.commit(1, rows) and r.totals().first()["n_tokens"] == 5
 
 
+def test_a_writer_that_dies_within_its_record_leaves_none(spark, monkeypatch):
+    folder = shared_dir(spark, "roll")
+    r = token_counts.Rollup(spark, folder)
+    rows = lambda n: spark.createDataFrame([(1, "t", "upsert", "a", "en", n, 0)], FEED)
+    assert r.commit(1, rows(5))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "asdict", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            r.commit(2, rows(6))
+    # what is left is an empty file under a hidden name
+    left = token_counts.file_system(spark, folder).listStatus(token_counts.hadoop_path(spark, f"{folder}/commits"))
+    assert [x.getPath().getName() for x in left if not x.getPath().getName().startswith(("_", "."))] == ["000000000000.json"]
+    assert r.totals().first()["n_tokens"] == 5 and r.commit(2, rows(6)) and r.totals().first()["n_tokens"] == 6
+    assert [c.batch for c in r.commits()] == [1, 2]
+
+
+def test_records_are_never_replaced_and_object_stores_refused(spark, monkeypatch):
+    r = token_counts.Rollup(spark, shared_dir(spark, "roll"))
+    one = token_counts.Commit(1, "x", "p", None, [])
+    assert r._publish(0, one) and not r._publish(0, token_counts.Commit(2, "y", "q", None, [])) and r.commits() == [one]
+
+    class Store:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "s3a"
+
+    monkeypatch.setattr(token_counts, "file_system", lambda *_: Store())
+    with pytest.raises(ValueError, match="s3a"):
+        r._publish(1, one)
+
+
+def test_token_folders_by_scheme():
+    with pytest.raises(ValueError, match="nosuch"):
+        token_files._open("nosuch://a/b")
+    assert token_files._open("/tmp/x")[1] == "/tmp/x" and token_files._open("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_two_writers_of_one_state(spark, monkeypatch):
     """The second writer publishes while the first one is still writing: the first begins again, nothing is lost."""
     folder = shared_dir(spark, "roll")
