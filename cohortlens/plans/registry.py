@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "bh_fdr"
-MODULES = ("treatment", "relational", "inputs", "models", "reports", "studies", "nulls")
+MODULES = ("treatment", "relational", "inputs", "models", "reports", "studies", "nulls", "texts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
