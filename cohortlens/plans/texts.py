@@ -31,7 +31,7 @@ st AS (SELECT prompt_id, cohort, list_sort(list_filter([{", ".join(_HAS)}], lamb
 
 
 def styled(s: SparkSession, d: str) -> DataFrame:
-    return Y.style_features(V.prompts(s, d).select("prompt_id", "cohort", "text"))
+    return Y.style_features(V.texts(s, d).select("prompt_id", "cohort", "text"))
 
 
 @query(STYLE + " SELECT prompt_id, cohort, array_to_string(features, ',') AS features, len(features) AS n_features FROM st")

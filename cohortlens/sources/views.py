@@ -116,6 +116,14 @@ prompts AS (
          n_chars % 8 AS topic_id, concat('d', n_chars % 8 % 3) AS domain, n_chars
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of ``prompts`` that documents alone give: no join with the labels, which would exchange every text."""
+    side = F.when(F.col("lang") == "en", "target").otherwise("baseline")
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("prompt_id"), side.alias("cohort"), F.concat_ws(":", side, "source").alias("author_id"), "text")
+
+
 AGES = ("18-24", "25-34", "35-44", "0")
 
 
