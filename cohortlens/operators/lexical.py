@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.information import normal_quantile
 from ..functions.text import word_tokens
+from ..sources.shared import written
 from .permutation import draws, hashes
 from .ranking import places
 
@@ -163,6 +164,7 @@ def shuffled_counts(prompts: DataFrame, permutations: int, seed: int, least: int
     counts = author_words(prompts).join(marked, "author_id")
     on = lambda p: F.sum(F.when(F.shiftright("bits", p).bitwiseAND(1) > 0, F.col("n")).otherwise(0))
     words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.array(*(on(p) for p in range(permutations))).alias("t")).filter(F.col("n") >= least)
+    words = written(words, "shuffled-counts")  # read several times by what scores them
     each = words.select("word", "n", F.posexplode("t").alias("perm", "y_t"))
     return each.select("perm", "word", "y_t", (F.col("n") - F.col("y_t")).alias("y_b"))
 

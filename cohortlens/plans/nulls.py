@@ -44,7 +44,7 @@ rz AS (SELECT mode, perm, word, (ln((y_t + a_t) / (n_t + s_t - y_t - a_t)) - ln(
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    counts = L.shuffled_counts(V.prompts(s, d), PERMUTATIONS, SEED)
+    counts = L.shuffled_counts(V.texts(s, d), PERMUTATIONS, SEED)
     return L.rescored(counts, L.reference_frequencies(V.table(s, d, "benchmark")), 0.1, 0.5, 500.0, 0.3)
 
 
