@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dialect as D
 from ..operators import encoder as E
 from ..operators import style as Y
 from ..sources import views as V
@@ -82,3 +85,25 @@ def text_vectors(s: SparkSession, d: str) -> DataFrame:
     moment = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     rows = v.select("text_id", F.round(F.array_max("v"), 5).alias("greatest"), F.round(F.array_min("v"), 5).alias("least"), F.round(moment, 4).alias("moment"))
     return docs.select("doc_id", E.text_id(F.col("text")).alias("text_id")).join(rows, "text_id").drop("text_id")
+
+
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STEPS = ", ".join(f"regexp_replace(s{i}, {_QUOTED(r.pattern)}, {_QUOTED(re.sub(r'[$]([0-9])', r'\\\1', r.to))}, 'g') AS s{i + 1}" for i, r in enumerate(D.RULES))
+_FIRED = " + ".join(f"(s{i} <> s{i + 1})::INT" for i in range(len(D.RULES)))
+_BOUNDS = ", ".join(f"('{c}', '{D.bound(p)}')" for c, p in D.DENSITIES.items())
+DIALECT = rf"""
+pc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).+?[.!?]+(?:[ \t\n\x0B\f\r]+|\z)|.+') AS x FROM documents),
+se AS (SELECT doc_id, i, x[i + 1] AS piece, rtrim(x[i + 1], {_SPACE}) AS s0 FROM (SELECT doc_id, x, unnest(range(len(x))) AS i FROM pc)),
+rw AS (SELECT doc_id, i, substr(piece, length(s0) + 1) AS sep, s0, substr(md5(concat_ws(':', {{seed}}, doc_id, i)), 1, 8) AS coin, {_STEPS} FROM se),
+rn AS (SELECT doc_id, i, sep, s0, coin, s{len(D.RULES)} AS s, {_FIRED} AS n FROM rw),
+dc AS (SELECT doc_id, cohort, trim(coalesce(string_agg(CASE WHEN s <> s0 AND coin < bound THEN s ELSE s0 END || sep, '' ORDER BY i), ''), {_SPACE}) AS text,
+  coalesce(sum(n) FILTER (s <> s0 AND coin < bound), 0) AS n_rules FROM documents CROSS JOIN (VALUES {_BOUNDS}) AS b(cohort, bound) LEFT JOIN rn USING (doc_id) GROUP BY doc_id, cohort),
+dw AS (SELECT *, greatest(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 1) AS w FROM dc)""".replace("{seed}", "7")
+
+
+@query(DIALECT + " SELECT doc_id, cohort, md5(text) AS digest, n_rules, (n_rules > 0)::INT AS markedness, least((20000 * n_rules + w) // (2 * w), 10000) / 10000 AS codedness FROM dw")
+def dialect_cohorts(s: SparkSession, d: str) -> DataFrame:
+    """Every document at five densities of rewritten sentences."""
+    docs = V.table(s, d, "documents").select("doc_id", "text")
+    rows = D.dialect_cohorts(D.rewrite_sentences(docs, seed=7, key="doc_id"))
+    return rows.select("doc_id", "cohort", F.md5("text").alias("digest"), "n_rules", "markedness", "codedness")
