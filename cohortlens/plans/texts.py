@@ -11,6 +11,7 @@ from ..operators import dialect as D
 from ..operators import encoder as E
 from ..operators import style as Y
 from ..sources import views as V
+from ..sources.shared import written
 from .inputs import TOK
 
 QUERIES, ORACLE = {}, {}
@@ -72,9 +73,8 @@ vn AS (SELECT text_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY text_id)) AS
 @query(ENCODED + " SELECT bucket, df, round(idf, 6) AS idf FROM di")
 def text_idf(s: SparkSession, d: str) -> DataFrame:
     """The hashed terms of all distinct documents and their inverse frequencies."""
-    docs = V.table(s, d, "documents")
-    n = docs.select(E.text_id(F.col("text")).alias("t")).distinct().count()
-    return E.inverse_frequencies(E.term_weights(docs), n).select("bucket", "df", F.round("idf", 6).alias("idf"))
+    weights = written(E.term_weights(V.table(s, d, "documents")), "term-weights")
+    return E.inverse_frequencies(weights, weights.count()).select("bucket", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(ENCODED + ", md AS (SELECT text_id, round(CASE WHEN count(*) < 64 THEN greatest(max(x), 0) ELSE max(x) END, 5) AS greatest, round(CASE WHEN count(*) < 64 THEN least(min(x), 0) ELSE min(x) END, 5) AS least, round(sum(x * (dim + 1)), 4) AS moment FROM vn GROUP BY text_id) SELECT doc_id, greatest, least, moment FROM documents JOIN md ON md5(coalesce(text, '')) = text_id")
