@@ -59,9 +59,9 @@ FDR = treatment.PERM + "," + treatment.BH + ", ax AS (SELECT axis_id, round(info
 
 
 def tested_axes(s: SparkSession, d: str) -> DataFrame:
-    m = treatment.matrix(s, d)
-    bits = S.axis_rates(m).select("axis_id", F.round("info_bits", 6).alias("info_bits"))
-    return S.benjamini_hochberg(S.permutation_p_values(m, treatment.PERMUTATIONS, treatment.SEED)).join(bits, "axis_id").select("axis_id", "info_bits", "p_value", "significant")
+    rates, tested = S.tested_rates(V.unit_counts(s, d), treatment.PERMUTATIONS, treatment.SEED, list(V.AXES))
+    bits = rates.select("axis_id", F.round("info_bits", 6).alias("info_bits"))
+    return S.benjamini_hochberg(tested).join(bits, "axis_id").select("axis_id", "info_bits", "p_value", "significant")
 
 
 @query(FDR + " SELECT axis_id, row_number() OVER (ORDER BY significant DESC, info_bits DESC, p_value, axis_id) AS place FROM ax")
@@ -101,7 +101,7 @@ def sensitivity_curve(s: SparkSession, d: str) -> DataFrame:
 
 @query(treatment.PERM + ", sd AS (SELECT axis_id, avg(draw) AS m, stddev_samp(draw) AS sd FROM draws GROUP BY axis_id) SELECT axis_id, perm, row_number() OVER (PARTITION BY axis_id ORDER BY round(draw, 12), perm) AS place, round((draw - m) / sd, 4) AS z FROM draws JOIN sd USING (axis_id)")
 def null_qq(s: SparkSession, d: str) -> DataFrame:
-    draws = S.permutation_draws(treatment.matrix(s, d), treatment.PERMUTATIONS, treatment.SEED)
+    draws = S.permutation_draws(V.unit_counts(s, d), treatment.PERMUTATIONS, treatment.SEED, axes=list(V.AXES))
     w = Window.partitionBy("axis_id")
     z = (F.col("draw") - F.avg("draw").over(w)) / F.stddev_samp("draw").over(w)
     return draws.select("axis_id", "perm", F.row_number().over(w.orderBy(F.round("draw", 12), "perm")).cast("long").alias("place"), F.round(z, 4).alias("z"))
