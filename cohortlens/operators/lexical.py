@@ -196,5 +196,6 @@ def rescored(counts: DataFrame, reference: DataFrame, c: float, w: float, streng
 
 def qq_points(scored: DataFrame) -> DataFrame:
     """(mode, place, quantile, z): each mode's pooled scores in order beside the normal quantiles of their places."""
-    ranked = places(scored, "z", ["perm", "word"], ["mode"])
+    # read three times: for the parts' bounds, their sizes and the rows
+    ranked = places(written(scored, "null-scores"), "z", ["perm", "word"], ["mode"])
     return ranked.select("mode", "place", normal_quantile((F.col("place") - 0.5) / F.col("all_n")).alias("quantile"), "z")
